@@ -13,7 +13,7 @@ similarity.  r, c ~ Gamma(2, 1) and b ~ U(0, 1) come from tables that a shingle'
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WordTable, components, cut, read, slices, word_hash
@@ -23,8 +23,12 @@ SHINGLE, SIMILAR = 5, 0.8
 BANDS, ROWS = 12, 4
 #: Entries of the document-frequency table and of the random tables.
 WORD_SLOTS, RANDOM_SLOTS = 1 << 16, 1 << 14
+#: Samples of all that a pair must share to be verified; a pair at 0.8 falls below with a probability of 0.0003.
+SHARED = 29
 #: Probes of a band group in a round.
 PROBES = 256
+#: A sample's last byte is kept, eight to a column.
+DRAWS = [f"d{k}" for k in range(BANDS * ROWS // 8)]
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -41,7 +45,7 @@ def document_frequency(docs: DataFrame, text: str = "text") -> tuple[int, np.nda
         for b in slices(batches):
             for t in b.column(0).to_pylist():
                 if w := words_of(t):
-                    total[np.unique([slot[x] for x in set(w)])] += 1
+                    total[list({slot[x] for x in set(w)})] += 1
                     n += 1
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], ["slot", "n"])
@@ -120,10 +124,21 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(least / (a[1].sum() + b[1].sum() - least))
 
 
+def shared_draws(a: str, b: str) -> Column:
+    """How many samples two rows share: bytes that are equal in columns named a + d<k> and b + d<k>."""
+    total = F.lit(8 * len(DRAWS))
+    for d in DRAWS:
+        x = F.col(a + d).bitwiseXOR(F.col(b + d))
+        for n in (4, 2, 1):  # the lowest bit of a byte becomes the union of its bits
+            x = x.bitwiseOR(F.shiftrightunsigned(x, n))
+        total = total - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+    return total
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
     """doc_id, class_id, kept for each document: its class is the smallest id that it reaches over links.
 
-    Links: weighted Jaccard of at least `similar` between documents that share a band.  Equal word sequences are one text
+    Links: weighted Jaccard of at least `similar` between documents that share a band and SHARED samples.  Equal word sequences are one text
     from the start, by a 128-bit hash.  Every pair of different texts in a band is either compared or already in one class: the
     smallest text is compared with all others, and then, while a band group holds texts of several classes, those
     outside its largest class are compared with all that are not in theirs, some in each round.
@@ -153,26 +168,30 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
                 bands = (bands ^ drawn[:, j::ROWS].copy().view(np.uint32).astype(np.uint64)) * MIX
                 bands ^= bands >> np.uint64(31)
             bands = bands.view(np.int64)
-            same, full = [None] * len(ids), [None] * len(ids)
+            short = (drawn.view(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).view(np.int64)
+            same, full, draws = [None] * len(ids), [None] * len(ids), np.zeros((len(ids), len(DRAWS)), np.int64)
+            draws[rows] = short
             for j, k in enumerate(rows):
                 same[k], full[k] = xxhash.xxh3_128_digest(normal[k].encode("utf-8", "surrogatepass")), bands[j]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(full, pa.list_(pa.int64()))], ["doc_id", "same", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(full, pa.list_(pa.int64())), *map(pa.array, draws.T)], ["doc_id", "same", "bands", *DRAWS])
 
-    signed = cut(docs.mapInArrow(sign, "doc_id long, same binary, bands array<long>"))
+    signed = cut(docs.mapInArrow(sign, "doc_id long, same binary, bands array<long>, " + ", ".join(f"{d} long" for d in DRAWS)))
     texts = signed.filter("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"))
     whole = signed.filter("same is not null").select("doc_id", "same").join(texts, "same").select("doc_id", "rep").distinct()
     whole = cut(whole)
-    reps = signed.filter("same is not null").join(whole.filter("doc_id = rep").select("doc_id"), "doc_id").dropDuplicates(["doc_id"])
+    reps = cut(signed.filter("same is not null").join(whole.filter("doc_id = rep").select("doc_id"), "doc_id").dropDuplicates(["doc_id"]))
     member = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
     size = member.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).filter("n > 1")
     member = cut(member.join(size, "band").select("band", "rep", "lead"))
+    draws = reps.select(F.col("doc_id").alias("rep"), *DRAWS)
+
+    def drawn_by(side: str) -> DataFrame:
+        return draws.select(F.col("rep").alias(side), *(F.col(d).alias(side + d) for d in DRAWS))
 
     def verify(pairs: DataFrame) -> DataFrame:
         """pairs (a, b) that are similar enough."""
-        need = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        held = docs.join(need, "doc_id", "left_semi")
-        left = pairs.join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-        both = left.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+        side = lambda s: docs.select(F.col("doc_id").alias(s), F.col("text").alias("t" + s))
+        both = pairs.join(side("b"), "b").join(side("a"), "a")
 
         def run(batches):
             shingler, known = Shingler(idf.value), WordTable(None, 4000)
@@ -182,10 +201,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
                 at = pa.array(keep, pa.bool_())
                 yield pa.RecordBatch.from_arrays([b.column("a").filter(at), b.column("b").filter(at)], ["a", "b"])
 
-        return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+        return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
-    links = cut(verify(member.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()))
+    star = member.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    star = star.join(drawn_by("b"), "b").join(drawn_by("a"), "a").filter(shared_draws("a", "b") >= SHARED).select("a", "b")
+    links = cut(verify(star))
     tried = cut(member.filter("rep = lead").select("band", "rep"))
+    by_band = Window.partitionBy("band").orderBy("rep")
     while True:
         found = components(links)
         now = member.select("band", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -193,10 +215,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
         largest = parts.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top")).filter("parts > 1").select("band", F.col("top.component").alias("top"))
         open_ = cut(now.join(largest, "band"))
         todo = open_.filter("component <> top").join(tried, ["band", "rep"], "left_anti")
-        some = cut(todo.withColumn("_n", F.row_number().over(_by_band())).filter(F.col("_n") <= PROBES).select("band", F.col("rep").alias("a"), F.col("component").alias("ca")))
+        some = cut(todo.withColumn("_n", F.row_number().over(by_band)).filter(F.col("_n") <= PROBES).select("band", F.col("rep").alias("a"), F.col("component").alias("ca")))
         if some.isEmpty():
             break
-        pairs = some.join(open_, "band").filter("component <> ca").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+        pairs = some.join(drawn_by("a"), "a").join(open_.select("band", F.col("rep").alias("b"), "component").join(drawn_by("b"), "b"), "band")
+        pairs = pairs.filter("component <> ca").filter(shared_draws("a", "b") >= SHARED)
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = cut(links.union(verify(pairs)).distinct())
         tried = cut(tried.union(some.select("band", F.col("a").alias("rep"))))
     classes = whole.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
@@ -204,12 +228,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     return classes.union(alone).withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
-def _by_band():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("band").orderBy("rep")
-
-
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs with one document of each class; rows with a null key stay, equal rows with one key become one."""
     gone = near_duplicates(docs, text, key).filter("not kept").select(F.col("doc_id").alias(key))
