@@ -27,6 +27,8 @@ WORD_SLOTS, RANDOM_SLOTS = 1 << 16, 1 << 14
 SHARED = 29
 #: Probes of a band group in a round.
 PROBES = 256
+#: Pivots of a band's largest class in a quick round, and the most ids (of eight bytes) that are broadcast to pick texts.
+PIVOTS, SENT_IDS = 4, 500_000
 #: A sample's last byte is kept, eight to a column.
 DRAWS = [f"d{k}" for k in range(BANDS * ROWS // 8)]
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -140,8 +142,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
     Links: weighted Jaccard of at least `similar` between documents that share a band and SHARED samples.  Equal word sequences are one text
     from the start, by a 128-bit hash.  Every pair of different texts in a band is either compared or already in one class: the
-    smallest text is compared with all others, and then, while a band group holds texts of several classes, those
-    outside its largest class are compared with all that are not in theirs, some in each round.
+    smallest text is compared with all others, then those outside the band's largest class with a few of it, and at last, while a
+    band group holds texts of several classes, those outside its largest class with all that are not in theirs, some in each round.
     Case counts for nothing, white space only separates.  Null and empty texts are classes of their own.  Rows with
     one key must be copies of each other and give one row; rows with a null key are left out, as they can't be named.
     """
@@ -190,7 +192,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
     def verify(pairs: DataFrame) -> DataFrame:
         """pairs (a, b) that are similar enough."""
-        side = lambda s: docs.select(F.col("doc_id").alias(s), F.col("text").alias("t" + s))
+        pairs = cut(pairs)
+        ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
+        held = docs.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_semi")
+        side = lambda s: held.select(F.col("doc_id").alias(s), F.col("text").alias("t" + s))
         both = pairs.join(side("b"), "b").join(side("a"), "a")
 
         def run(batches):
@@ -208,6 +213,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     links = cut(verify(star))
     tried = cut(member.filter("rep = lead").select("band", "rep"))
     by_band = Window.partitionBy("band").orderBy("rep")
+    quick, before, turn = True, -1, 0
     while True:
         found = components(links)
         now = member.select("band", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
@@ -215,14 +221,24 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
         largest = parts.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top")).filter("parts > 1").select("band", F.col("top.component").alias("top"))
         open_ = cut(now.join(largest, "band"))
         todo = open_.filter("component <> top").join(tried, ["band", "rep"], "left_anti")
-        some = cut(todo.withColumn("_n", F.row_number().over(by_band)).filter(F.col("_n") <= PROBES).select("band", F.col("rep").alias("a"), F.col("component").alias("ca")))
-        if some.isEmpty():
-            break
-        pairs = some.join(drawn_by("a"), "a").join(open_.select("band", F.col("rep").alias("b"), "component").join(drawn_by("b"), "b"), "band")
-        pairs = pairs.filter("component <> ca").filter(shared_draws("a", "b") >= SHARED)
+        if quick:  # all outside the largest class against a few of it, which merges most that will ever merge
+            turn += 1
+            picks = [F.min(F.struct(F.xxhash64(F.lit(turn * PIVOTS + k), "rep"), "rep"))["rep"] for k in range(PIVOTS)]
+            pivots = open_.filter("component = top").groupBy("band").agg(F.array_distinct(F.array(*picks)).alias("b")).withColumn("b", F.explode("b"))
+            pairs = todo.select("band", F.col("rep").alias("a")).join(pivots, "band").select("a", "b").distinct()
+            pairs = pairs.join(drawn_by("a"), "a").join(drawn_by("b"), "b")
+        else:
+            some = cut(todo.withColumn("_n", F.row_number().over(by_band)).filter(F.col("_n") <= PROBES).select("band", F.col("rep").alias("a"), F.col("component").alias("ca")))
+            if some.isEmpty():
+                break
+            pairs = some.join(drawn_by("a"), "a").join(open_.select("band", F.col("rep").alias("b"), "component").join(drawn_by("b"), "b"), "band").filter("component <> ca")
+            tried = cut(tried.union(some.select("band", F.col("a").alias("rep"))))
+        pairs = pairs.filter(shared_draws("a", "b") >= SHARED)
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         links = cut(links.union(verify(pairs)).distinct())
-        tried = cut(tried.union(some.select("band", F.col("a").alias("rep"))))
+        if quick:
+            after = links.count()
+            quick, before = after != before, after
     classes = whole.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     alone = signed.filter("same is null").select("doc_id", F.col("doc_id").alias("class_id")).distinct()
     return classes.union(alone).withColumn("kept", F.col("doc_id") == F.col("class_id"))
