@@ -111,7 +111,8 @@ def train(docs: DataFrame, good: DataFrame) -> Model:
     """docs (doc_id, text), good (doc_id): the target's documents.  Null and empty texts add nothing."""
     sc = docs.sparkSession.sparkContext
     mark = good.select("doc_id", F.lit(True).alias("good")).filter("doc_id is not null").distinct()
-    both = docs.select("doc_id", "text").join(mark, "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
+    # Labels grow with the documents: one kind of join at every size, which never holds them in one place.
+    both = docs.select("doc_id", "text").join(mark.hint("merge"), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
 
     def by_word():
         table = WordTable(word_hash)
