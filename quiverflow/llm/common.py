@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 
@@ -27,6 +28,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove the files of shuffles and checkpoints that nothing refers to any more; it does so only once the
+    driver's garbage is collected, which a loop of many small jobs may never bring about."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def worker_state() -> dict:
     """A dict that lives as long as the Python worker; tasks come and go."""
     return sys.__dict__.setdefault("_quiverflow_worker", {})
@@ -82,6 +90,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if now == before:
             break
         before = now
+        tidy(edges.sparkSession)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )

@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordTable, components, cut, read, slices, word_hash
+from .common import WordTable, components, cut, read, slices, tidy, word_hash
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Bands and samples in each; a pair at 0.8 shares a band with a probability of 0.998.
@@ -239,6 +239,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
         if quick:
             after = links.count()
             quick, before = after != before, after
+        tidy(spark)
     classes = whole.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     alone = signed.filter("same is null").select("doc_id", F.col("doc_id").alias("class_id")).distinct()
     return classes.union(alone).withColumn("kept", F.col("doc_id") == F.col("class_id"))
