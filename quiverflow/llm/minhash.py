@@ -64,7 +64,7 @@ class Shingler:
     """Weighted shingles of texts.  idf: by word slot."""
 
     def __init__(self, idf: np.ndarray):
-        self.words = WordTable(lambda w: ((h := word_hash(w)), idf[h % WORD_SLOTS]))
+        self.words = WordTable(lambda w: ((h := word_hash(w)), idf[h % WORD_SLOTS]), 100_000)
 
     def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Sorted shingle hashes and their weights, for each text; a text of fewer than five words is one shingle."""
@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
         both = pairs.join(side("b"), "b").join(side("a"), "a")
 
         def run(batches):
-            shingler, known = Shingler(idf.value), WordTable(None, 4000)
+            shingler, known = Shingler(idf.value), WordTable(None, 1000)
             known.fn = lambda t: shingler([t])[0]
             for b in slices(batches):
                 keep = [similarity(known[x], known[y]) >= similar for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True)]
