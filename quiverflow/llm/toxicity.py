@@ -68,6 +68,8 @@ def choose(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
 
 def fit(docs: list[np.ndarray], earlier: np.ndarray, y: np.ndarray) -> dict:
     """Logistic regression with a quadratic penalty, by accelerated gradient steps with a step for each feature."""
+    if not len(y):
+        return {"features": np.zeros(0, np.int64), "weights": np.zeros(0), "earlier": np.zeros(earlier.shape[1]), "bias": 0.0}
     chosen = choose(docs, y)
     x, m = Sparse(docs, chosen), earlier.shape[1]
     w, v = np.zeros(len(chosen) + m), np.zeros(len(chosen) + m)
@@ -127,7 +129,7 @@ def score(docs: DataFrame, models: list[dict], text: str = "text") -> DataFrame:
     """docs with the probability of each category as p_<name>.
 
     Whole texts, each row by itself; null and empty texts get what the models say of no feature at all.  Columns
-    named like the results are replaced.  Without labelled rows every probability is about one half of nothing known: 0.5.
+    named like the results are replaced.  Without labelled rows every probability is 0.5.
     """
     import pyarrow as pa
     from pyspark.sql.types import DoubleType, StructField, StructType
@@ -152,7 +154,7 @@ def score(docs: DataFrame, models: list[dict], text: str = "text") -> DataFrame:
 
 def classify(docs: DataFrame, all_docs: DataFrame, labels: DataFrame, cut: float = 0.5) -> DataFrame:
     """docs with p_<category> and `toxic`: whether the last category is likelier than `cut`."""
-    return score(docs, train(all_docs, labels)).withColumn("toxic", F.col(f"p_{[*CHAIN][-1]}") >= cut)
+    return score(docs, train(all_docs, labels)).withColumn("toxic", F.col(f"p_{[*CHAIN][-1]}") > cut)
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
