@@ -40,7 +40,7 @@ class Sparse:
     """Documents as rows of present features, by number of a chosen feature."""
 
     def __init__(self, docs: list[np.ndarray], chosen: np.ndarray):
-        flat = np.concatenate([*docs, np.zeros(0, np.int64)])
+        flat = np.concatenate([*docs, np.zeros(0, np.int32)])
         row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
         at = np.minimum(np.searchsorted(chosen, flat), max(0, len(chosen) - 1))
         ok = chosen[at] == flat if len(chosen) else np.zeros(len(flat), bool)
@@ -55,7 +55,7 @@ class Sparse:
 
 def choose(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """The features that tell most of y: greatest G statistic among those in three documents or more, sorted."""
-    flat = np.concatenate([*docs, np.zeros(0, np.int64)])
+    flat = np.concatenate([*docs, np.zeros(0, np.int32)])
     names, inverse = np.unique(flat, return_inverse=True)
     n = np.bincount(inverse, minlength=len(names)).astype(float)
     k = np.bincount(inverse, np.repeat(y, [len(d) for d in docs]), len(names))
@@ -116,13 +116,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[dict
     def run(batches):
         table = WordTable(word_features)
         for b in slices(batches):
-            found = [np.array(sorted(present(t, table)), np.int64).tobytes() for t in b.column("text").to_pylist()]
+            found = [np.array(sorted(present(t, table)), np.int32).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", *CHAIN)), pa.array(found, pa.binary())], ["doc_id", *CHAIN, "found"])
 
     schema = "doc_id long, " + ", ".join(f"{c} int" for c in CHAIN) + ", found binary"
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInArrow(run, schema).collect()
     rows = list({r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["found"]))}.values())
-    return fit_chain([np.frombuffer(r["found"], np.int64) for r in rows], np.array([[r[c] for c in CHAIN] for r in rows]).reshape(-1, len(CHAIN)))
+    found = [np.frombuffer(r["found"], np.int32) for r in rows]
+    flags = np.array([[r[c] for c in CHAIN] for r in rows]).reshape(-1, len(CHAIN))
+    del rows
+    # Features of fewer than three documents are never chosen; most are, and the driver needn't hold them.
+    names, n = np.unique(np.concatenate([*found, np.zeros(0, np.int32)]), return_counts=True)
+    names = names[n >= 3]
+    return fit_chain([d[np.isin(d, names, assume_unique=True)] for d in found], flags)
 
 
 def score(docs: DataFrame, models: list[dict], text: str = "text") -> DataFrame:
