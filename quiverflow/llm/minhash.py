@@ -25,10 +25,10 @@ BANDS, ROWS = 12, 4
 WORD_SLOTS, RANDOM_SLOTS = 1 << 16, 1 << 14
 #: Samples of all that a pair must share to be verified; a pair at 0.8 falls below with a probability of 0.0003.
 SHARED = 29
-#: Probes of a band group in a round.
-PROBES = 256
-#: Pivots of a band's largest class in a quick round, and the most ids (of eight bytes) that are broadcast to pick texts.
-PIVOTS, SENT_IDS = 4, 500_000
+#: Texts of a band group that are compared with all others in the first round, and in each later one; and the words that they may have together.
+PIVOTS, PROBES, PROBE_WORDS = 8, 1024, 1_000_000
+#: Texts of a band group, beside the probes, that are compared in one block; and the most ids (of eight bytes) that are broadcast to pick texts.
+BLOCK, SENT_IDS = 512, 500_000
 #: A sample's last byte is kept, eight to a column.
 DRAWS = [f"d{k}" for k in range(BANDS * ROWS // 8)]
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -141,9 +141,10 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     """doc_id, class_id, kept for each document: its class is the smallest id that it reaches over links.
 
     Links: weighted Jaccard of at least `similar` between documents that share a band and SHARED samples.  Equal word sequences are one text
-    from the start, by a 128-bit hash.  Every pair of different texts in a band is either compared or already in one class: the
-    smallest text is compared with all others, then those outside the band's largest class with a few of it, and at last, while a
-    band group holds texts of several classes, those outside its largest class with all that are not in theirs, some in each round.
+    from the start, by a 128-bit hash.  Every pair of different texts that meets in a band is either compared or already in one class:
+    a few texts of each band group are compared with all others, and then, while a group holds texts of several classes, those
+    outside its largest class with all that are not in theirs, some in each round.  Blocks of a group are compared where
+    its texts lie, so a text travels once a block and not once a pair, and a pair is compared in the first band that it shares.
     Case counts for nothing, white space only separates.  Null and empty texts are classes of their own.  Rows with
     one key must be copies of each other and give one row; rows with a null key are left out, as they can't be named.
     """
@@ -170,75 +171,94 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
                 bands = (bands ^ drawn[:, j::ROWS].copy().view(np.uint32).astype(np.uint64)) * MIX
                 bands ^= bands >> np.uint64(31)
             bands = bands.view(np.int64)
+            words = [len(normal[k].split()) for k in range(len(ids))]
             short = (drawn.view(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).view(np.int64)
             same, full, draws = [None] * len(ids), [None] * len(ids), np.zeros((len(ids), len(DRAWS)), np.int64)
             draws[rows] = short
             for j, k in enumerate(rows):
                 same[k], full[k] = xxhash.xxh3_128_digest(normal[k].encode("utf-8", "surrogatepass")), bands[j]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(full, pa.list_(pa.int64())), *map(pa.array, draws.T)], ["doc_id", "same", "bands", *DRAWS])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(full, pa.list_(pa.int64())), pa.array(words), *map(pa.array, draws.T)], ["doc_id", "same", "bands", "words", *DRAWS])
 
-    signed = cut(docs.mapInArrow(sign, "doc_id long, same binary, bands array<long>, " + ", ".join(f"{d} long" for d in DRAWS)))
+    signed = cut(docs.mapInArrow(sign, "doc_id long, same binary, bands array<long>, words long, " + ", ".join(f"{d} long" for d in DRAWS)))
     texts = signed.filter("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"))
     whole = signed.filter("same is not null").select("doc_id", "same").join(texts, "same").select("doc_id", "rep").distinct()
     whole = cut(whole)
     reps = cut(signed.filter("same is not null").join(whole.filter("doc_id = rep").select("doc_id"), "doc_id").dropDuplicates(["doc_id"]))
-    member = reps.select(F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
-    size = member.groupBy("band").agg(F.count("*").alias("n"), F.min("rep").alias("lead")).filter("n > 1")
-    member = cut(member.join(size, "band").select("band", "rep", "lead"))
-    draws = reps.select(F.col("doc_id").alias("rep"), *DRAWS)
-
-    def drawn_by(side: str) -> DataFrame:
-        return draws.select(F.col("rep").alias(side), *(F.col(d).alias(side + d) for d in DRAWS))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        """pairs (a, b) that are similar enough."""
-        pairs = cut(pairs)
-        ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
-        held = docs.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_semi")
-        side = lambda s: held.select(F.col("doc_id").alias(s), F.col("text").alias("t" + s))
-        both = pairs.join(side("b"), "b").join(side("a"), "a")
+    member = reps.select("words", F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
+    shared = member.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
+    member = cut(member.join(shared, "band"))
+    marks = ["bands", *DRAWS]
+
+    def marked(df: DataFrame, side: str) -> DataFrame:
+        """(band, rep, component) as band, <side>, c<side>, with what tells which pairs are candidates."""
+        known = reps.select(F.col("doc_id").alias(side), *(F.col(c).alias(side + c) for c in marks))
+        return df.withColumnsRenamed({"rep": side, "component": "c" + side, "_n": "n" + side}).drop("words").join(known, side)
+
+    def picked(df: DataFrame, most: int) -> DataFrame:
+        """At most that many rows of each band, and of so many words together, but one at least."""
+        order = Window.partitionBy("band").orderBy(F.xxhash64("rep"), "rep")
+        some = df.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most)
+        return some.withColumn("_w", F.sum("words").over(order)).filter((F.col("_n") == 1) | (F.col("_w") <= PROBE_WORDS)).drop("_w")
+
+    def compare(left: DataFrame, right: DataFrame, new: Column) -> DataFrame:
+        """Links (a, b) between texts of left and right that share a band and lie in different classes, enough to merge those classes."""
+        hits = marked(left, "a").join(marked(right, "b"), "band").filter((F.col("ca") != F.col("cb")) & new)
+        hits = hits.filter(shared_draws("a", "b") >= SHARED).filter(F.array_intersect("abands", "bbands")[0] == F.col("band"))
+        hits = cut(hits.groupBy("band", "b").agg(F.collect_list(F.struct("a", "ca")).alias("probes"), F.first("cb").alias("component")))
+        blocks = hits.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        hits = hits.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("b"), "blocks"))
+        probes = hits.select("band", "block", F.explode("probes").alias("p")).select("band", "block", F.col("p.a").alias("rep"), F.col("p.ca").alias("component")).distinct()
+        rows = hits.select("band", "block", F.col("b").alias("rep"), "component", F.col("probes.a").alias("probes"))
+        rows = cut(rows.unionByName(probes.withColumn("probes", F.lit(None).cast("array<long>"))))
+        ids = cut(rows.select(F.col("rep").alias("doc_id")).distinct())
+        held = docs.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
+        rows = rows.join(held, "rep").select("band", "block", "rep", "component", "probes", "text")
+        rows = rows.repartition("band", "block").sortWithinPartitions("band", "block", F.col("probes").isNotNull())
 
         def run(batches):
-            shingler, known = Shingler(idf.value), WordTable(None, 1000)
-            known.fn = lambda t: shingler([t])[0]
+            shingler, at, probes, up = Shingler(idf.value), None, {}, {}
+
+            def top(c: int) -> int:
+                while (c_up := up.get(c, c)) != c:
+                    up[c] = c = up.get(c_up, c_up)
+                return c
+
             for b in slices(batches):
-                keep = [similarity(known[x], known[y]) >= similar for x, y in zip(b.column("ta").to_pylist(), b.column("tb").to_pylist(), strict=True)]
-                at = pa.array(keep, pa.bool_())
-                yield pa.RecordBatch.from_arrays([b.column("a").filter(at), b.column("b").filter(at)], ["a", "b"])
-
-        return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
-
-    star = member.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    star = star.join(drawn_by("b"), "b").join(drawn_by("a"), "a").filter(shared_draws("a", "b") >= SHARED).select("a", "b")
-    links = cut(verify(star))
-    tried = cut(member.filter("rep = lead").select("band", "rep"))
-    by_band = Window.partitionBy("band").orderBy("rep")
-    quick, before, turn = True, -1, 0
+                found = [], []
+                for band, block, rep, component, near, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if (band, block) != at:
+                        at, probes, up = (band, block), {}, {}
+                    mine = shingler([text])[0]
+                    if near is None:
+                        probes[rep] = component, mine
+                        continue
+                    for a in near:
+                        other, theirs = probes[a]
+                        if (x := top(other)) != (y := top(component)) and similarity(theirs, mine) >= similar:
+                            up[x] = y
+                            found[0].append(a)
+                            found[1].append(rep)
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["a", "b"])
+
+        return rows.mapInArrow(run, "a long, b long")
+
+    single = member.withColumn("component", F.col("rep"))
+    first = cut(picked(single, PIVOTS))
+    right = single.join(first.select("band", "rep", "_n"), ["band", "rep"], "left")
+    links = cut(compare(first, right, F.col("nb").isNull() | (F.col("na") < F.col("nb"))))
+    tried = first.select("band", "rep")
     while True:
         found = components(links)
-        now = member.select("band", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        now = member.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         parts = now.groupBy("band", "component").agg(F.count("*").alias("n"))
         largest = parts.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top")).filter("parts > 1").select("band", F.col("top.component").alias("top"))
         open_ = cut(now.join(largest, "band"))
         todo = open_.filter("component <> top").join(tried, ["band", "rep"], "left_anti")
-        if quick:  # all outside the largest class against a few of it, which merges most that will ever merge
-            turn += 1
-            picks = [F.min(F.struct(F.xxhash64(F.lit(turn * PIVOTS + k), "rep"), "rep"))["rep"] for k in range(PIVOTS)]
-            pivots = open_.filter("component = top").groupBy("band").agg(F.array_distinct(F.array(*picks)).alias("b")).withColumn("b", F.explode("b"))
-            pairs = todo.select("band", F.col("rep").alias("a")).join(pivots, "band").select("a", "b").distinct()
-            pairs = pairs.join(drawn_by("a"), "a").join(drawn_by("b"), "b")
-        else:
-            some = cut(todo.withColumn("_n", F.row_number().over(by_band)).filter(F.col("_n") <= PROBES).select("band", F.col("rep").alias("a"), F.col("component").alias("ca")))
-            if some.isEmpty():
-                break
-            pairs = some.join(drawn_by("a"), "a").join(open_.select("band", F.col("rep").alias("b"), "component").join(drawn_by("b"), "b"), "band").filter("component <> ca")
-            tried = cut(tried.union(some.select("band", F.col("a").alias("rep"))))
-        pairs = pairs.filter(shared_draws("a", "b") >= SHARED)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        links = cut(links.union(verify(pairs)).distinct())
-        if quick:
-            after = links.count()
-            quick, before = after != before, after
+        some = cut(picked(todo, PROBES).drop("top"))
+        if some.isEmpty():
+            break
+        links = cut(links.union(compare(some, open_.drop("top"), F.lit(True))))
+        tried = cut(tried.union(some.select("band", "rep")))
         tidy(spark)
     classes = whole.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     alone = signed.filter("same is null").select("doc_id", F.col("doc_id").alias("class_id")).distinct()
