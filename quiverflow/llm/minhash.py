@@ -13,7 +13,7 @@ similarity.  r, c ~ Gamma(2, 1) and b ~ U(0, 1) come from tables that a shingle'
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WordTable, components, cut, read, slices, tidy, word_hash
@@ -126,17 +126,6 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(least / (a[1].sum() + b[1].sum() - least))
 
 
-def shared_draws(a: str, b: str) -> Column:
-    """How many samples two rows share: bytes that are equal in columns named a + d<k> and b + d<k>."""
-    total = F.lit(8 * len(DRAWS))
-    for d in DRAWS:
-        x = F.col(a + d).bitwiseXOR(F.col(b + d))
-        for n in (4, 2, 1):  # the lowest bit of a byte becomes the union of its bits
-            x = x.bitwiseOR(F.shiftrightunsigned(x, n))
-        total = total - F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
-    return total
-
-
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
     """doc_id, class_id, kept for each document: its class is the smallest id that it reaches over links.
 
@@ -187,29 +176,53 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
     member = reps.select("words", F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
     shared = member.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
     member = cut(member.join(shared, "band"))
-    marks = ["bands", *DRAWS]
-
-    def marked(df: DataFrame, side: str) -> DataFrame:
-        """(band, rep, component) as band, <side>, c<side>, with what tells which pairs are candidates."""
-        known = reps.select(F.col("doc_id").alias(side), *(F.col(c).alias(side + c) for c in marks))
-        return df.withColumnsRenamed({"rep": side, "component": "c" + side, "_n": "n" + side}).drop("words").join(known, side)
-
     def picked(df: DataFrame, most: int) -> DataFrame:
         """At most that many rows of each band, and of so many words together, but one at least."""
         order = Window.partitionBy("band").orderBy(F.xxhash64("rep"), "rep")
         some = df.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most)
         return some.withColumn("_w", F.sum("words").over(order)).filter((F.col("_n") == 1) | (F.col("_w") <= PROBE_WORDS)).drop("_w")
 
-    def compare(left: DataFrame, right: DataFrame, new: Column) -> DataFrame:
+    def candidates(batches):
+        """For each block the rows of right that have candidates, with those, and the rows of left that are some row's."""
+        at, ids, need = None, [], set()
+        rows: list[tuple] = []
+        for b in slices(batches):
+            band_of, block_of, reps_, comps, places = (b.column(c).to_pylist() for c in ("band", "block", "rep", "component", "_n"))
+            drawn = np.column_stack([b.column(d).to_numpy() for d in DRAWS]).view(np.uint8)
+            bands = np.array(b.column("bands").to_pylist(), np.int64)
+            for k, probe in enumerate(b.column("probe").to_pylist()):
+                if (band_of[k], block_of[k]) != at:
+                    rows += [(*at, *ids[j], None) for j in sorted(need)] if at else []
+                    at, ids, need, stack, held = (band_of[k], block_of[k]), [], set(), [], None
+                if probe:
+                    ids.append((reps_[k], comps[k]))
+                    stack.append((drawn[k], bands[k], comps[k], places[k]))
+                    continue
+                held = held or tuple(map(np.array, zip(*stack, strict=True)))
+                same = held[1] == bands[k]
+                ok = ((held[0] == drawn[k]).sum(1) >= SHARED) & (bands[k][same.argmax(1)] == at[0]) & (held[2] != comps[k])
+                if places[k] is not None:
+                    ok &= held[3] < places[k]
+                if len(near := np.flatnonzero(ok).tolist()):
+                    need.update(near)
+                    rows.append((*at, reps_[k], comps[k], [ids[j][0] for j in near]))
+            yield pa.RecordBatch.from_pylist([dict(zip(found.names, r, strict=True)) for r in rows], found)
+            rows = []
+        yield pa.RecordBatch.from_pylist([dict(zip(found.names, (*at, *ids[j], None), strict=True)) for j in sorted(need)], found)
+
+    found = pa.schema([*((c, pa.int64()) for c in ("band", "block", "rep", "component")), ("probes", pa.list_(pa.int64()))])
+    marks = reps.select(F.col("doc_id").alias("rep"), "bands", *DRAWS)
+
+    def compare(left: DataFrame, right: DataFrame) -> DataFrame:
         """Links (a, b) between texts of left and right that share a band and lie in different classes, enough to merge those classes."""
-        hits = marked(left, "a").join(marked(right, "b"), "band").filter((F.col("ca") != F.col("cb")) & new)
-        hits = hits.filter(shared_draws("a", "b") >= SHARED).filter(F.array_intersect("abands", "bbands")[0] == F.col("band"))
-        hits = cut(hits.groupBy("band", "b").agg(F.collect_list(F.struct("a", "ca")).alias("probes"), F.first("cb").alias("component")))
-        blocks = hits.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        hits = hits.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("b"), "blocks"))
-        probes = hits.select("band", "block", F.explode("probes").alias("p")).select("band", "block", F.col("p.a").alias("rep"), F.col("p.ca").alias("component")).distinct()
-        rows = hits.select("band", "block", F.col("b").alias("rep"), "component", F.col("probes.a").alias("probes"))
-        rows = cut(rows.unionByName(probes.withColumn("probes", F.lit(None).cast("array<long>"))))
+        right = right.join(left.select("band", "rep", "_n"), ["band", "rep"], "left")
+        blocks = right.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+        cols = ["band", "block", "rep", "component", "_n", "probe"]
+        ours = left.join(blocks, "band").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        theirs = right.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
+        rows = ours.withColumn("probe", F.lit(True)).select(cols).union(theirs.withColumn("probe", F.lit(False)).select(cols)).join(marks, "rep")
+        rows = rows.repartition("band", "block").sortWithinPartitions("band", "block", F.col("probe").desc())
+        rows = cut(rows.mapInArrow(candidates, "band long, block long, rep long, component long, probes array<long>"))
         ids = cut(rows.select(F.col("rep").alias("doc_id")).distinct())
         held = docs.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
         rows = rows.join(held, "rep").select("band", "block", "rep", "component", "probes", "text")
@@ -244,12 +257,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
     single = member.withColumn("component", F.col("rep"))
     first = cut(picked(single, PIVOTS))
-    right = single.join(first.select("band", "rep", "_n"), ["band", "rep"], "left")
-    links = cut(compare(first, right, F.col("nb").isNull() | (F.col("na") < F.col("nb"))))
+    links = cut(compare(first, single))
     tried = first.select("band", "rep")
     while True:
-        found = components(links)
-        now = member.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        classes = components(links)
+        now = member.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
         parts = now.groupBy("band", "component").agg(F.count("*").alias("n"))
         largest = parts.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top")).filter("parts > 1").select("band", F.col("top.component").alias("top"))
         open_ = cut(now.join(largest, "band"))
@@ -257,12 +269,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
         some = cut(picked(todo, PROBES).drop("top"))
         if some.isEmpty():
             break
-        links = cut(links.union(compare(some, open_.drop("top"), F.lit(True))))
+        links = cut(links.union(compare(some, open_.join(some.select("band").distinct(), "band", "left_semi"))))
         tried = cut(tried.union(some.select("band", "rep")))
         tidy(spark)
-    classes = whole.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
+    named = whole.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
     alone = signed.filter("same is null").select("doc_id", F.col("doc_id").alias("class_id")).distinct()
-    return classes.union(alone).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return named.union(alone).withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:

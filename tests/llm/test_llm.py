@@ -204,6 +204,23 @@ def test_near_duplicates_like_brute_force(spark):
     assert minhash.keep_one(docs(spark, *texts)).columns == ["doc_id", "text", "extra"]
 
 
+def test_near_duplicates_in_several_rounds_and_blocks(spark, monkeypatch):
+    for name, n in (("PIVOTS", 1), ("PROBES", 5), ("BLOCK", 4)):
+        monkeypatch.setattr(minhash, name, n)
+    r, texts = random.Random(9), []
+    for k in range(2):
+        words = prose(300 + k, 120).split()
+        for _ in range(20):
+            copy = list(words)
+            for _ in range(r.randint(0, 7)):
+                copy[r.randrange(len(copy))] = f"edited{r.randrange(9)}"
+            texts.append(" ".join(copy))
+    r.shuffle(texts)
+    got = [x["class_id"] for x in sorted(minhash.near_duplicates(docs(spark, *texts)).collect())]
+    assert got == brute_classes(texts)
+    assert len(set(got)) > 4
+
+
 def test_near_duplicates_of_nothing(spark):
     assert minhash.near_duplicates(empty(spark)).count() == 0
 
