@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordTable, read, slices, word_hash
+from .common import SLICE, WordTable, read, slices, word_hash
 
 #: Bound of the labelled sample that the models are fitted on (the smallest by a hash of the id), and of the features of a model.
 SAMPLE, FEATURES = 12_000, 4_000
@@ -36,15 +36,24 @@ def present(text: str | None, table: WordTable) -> set[int]:
     return set().union(*(table[w] for w in set(pieces(text)))) if text else set()
 
 
+def flattened(docs: list[np.ndarray]):
+    """(document's number, feature) as two arrays, for a few documents at a time: all of a sample's at once would take too much memory."""
+    for k in range(0, len(docs), SLICE):
+        part = docs[k : k + SLICE]
+        yield np.repeat(np.arange(k, k + len(part), dtype=np.int32), [len(d) for d in part]), np.concatenate(part)
+
+
 class Sparse:
     """Documents as rows of present features, by number of a chosen feature."""
 
     def __init__(self, docs: list[np.ndarray], chosen: np.ndarray):
-        flat = np.concatenate([*docs, np.zeros(0, np.int32)])
-        row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-        at = np.minimum(np.searchsorted(chosen, flat), max(0, len(chosen) - 1))
-        ok = chosen[at] == flat if len(chosen) else np.zeros(len(flat), bool)
-        self.row, self.col, self.shape = row[ok], at[ok], (len(docs), len(chosen))
+        rows, cols = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for row, flat in flattened(docs):
+            at = np.minimum(np.searchsorted(chosen, flat), max(0, len(chosen) - 1))
+            ok = chosen[at] == flat if len(chosen) else np.zeros(len(flat), bool)
+            rows.append(row[ok])
+            cols.append(at[ok].astype(np.int32))
+        self.row, self.col, self.shape = np.concatenate(rows), np.concatenate(cols), (len(docs), len(chosen))
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, w[self.col], self.shape[0])
@@ -55,10 +64,12 @@ class Sparse:
 
 def choose(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """The features that tell most of y: greatest G statistic among those in three documents or more, sorted."""
-    flat = np.concatenate([*docs, np.zeros(0, np.int32)])
-    names, inverse = np.unique(flat, return_inverse=True)
-    n = np.bincount(inverse, minlength=len(names)).astype(float)
-    k = np.bincount(inverse, np.repeat(y, [len(d) for d in docs]), len(names))
+    names = np.unique(np.concatenate([*docs, np.zeros(0, np.int32)]))
+    n, k = np.zeros(len(names)), np.zeros(len(names))
+    for row, flat in flattened(docs):
+        at = np.searchsorted(names, flat)
+        n += np.bincount(at, minlength=len(names))
+        k += np.bincount(at, y[row], len(names))
     p = np.clip(y.mean(), 1e-6, 1 - 1e-6)
     q = np.clip(k / np.maximum(n, 1), 1e-9, 1 - 1e-9)
     g = np.where(n >= 3, n * (q * np.log(q / p) + (1 - q) * np.log((1 - q) / (1 - p))), 0)
