@@ -78,7 +78,7 @@ class WordBpe:
         self.shorter = [-1] * n  # the longest token that a token begins with
         for word, i in by_word.items():
             self.shorter[i] = next((by_word[word[:k]] for k in range(len(word) - 1, 0, -1) if word[:k] in by_word), -1)
-        self.fits = WordTable(self._fits, 1_000_000)
+        self.fits = WordTable(self._fits, 200_000)
         self.words = WordTable(self._word_bytes)
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else lambda text: [text]

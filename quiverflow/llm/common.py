@@ -43,7 +43,7 @@ def worker_state() -> dict:
 class WordTable(dict):
     """word -> fn(word), remembered; forgets everything once it holds `most` words."""
 
-    def __init__(self, fn, most: int = 300_000):
+    def __init__(self, fn, most: int = 100_000):
         super().__init__()
         self.fn, self.most = fn, most
 
