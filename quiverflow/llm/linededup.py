@@ -1,10 +1,10 @@
-"""Repeated passages: content-defined chunks of lines, counted over all documents and compared byte for byte.
+"""Repeated passages: every run of whole units (sentences or lines) with 20 words or more that stands at two places.
 
 Native: DataFrame and SQL functions only.  A document is cut into lines, and lines into sentences, so that a passage inside a
-longer line is found too; a hash over each line's hash and the one before it decides
-whether a chunk ends there.  Boundaries depend on content alone, so a passage is cut alike
-wherever it stands.  Chunks are grouped by their bytes, which is the comparison; runs
-of repeated chunks are removed except where they stand first.
+longer line is found too.  From each unit on, and up to each unit, the shortest run of units with enough words is a
+window.  The windows inside a repeated run of enough words cover all of it, and its first and last unit too, whatever
+stands around it; so windows are counted over all documents, and a unit goes if it lies in one that is not at its
+first place.  Windows are compared by 96 bits of their SHA-256, without blanks and line ends around them.
 """
 
 from __future__ import annotations
@@ -14,54 +14,67 @@ from pyspark.sql import functions as F
 
 from .common import read
 
-#: One line in so many ends a chunk; a run of repeated chunks goes from so many lines and words on.
-DIVISOR, LINES, WORDS = 2, 2, 20
-UNIT = r"(?<=\n)|(?<=[.!?] )"
+#: A passage has so many words at least.
+WORDS = 20
+#: A unit takes blank lines before it along, so it has one word at least and a window WORDS units at most.
+UNIT = r"(?s)\s*\S.*?(?:\n|(?<=[.!?]) |\z)"
+#: Hexadecimal digits of a window's digest that are compared.
+DIGITS = 24
 
 
-def _chunks(df: DataFrame, text: str) -> DataFrame:
-    """df with `_c`: array<struct<text, lines>>, whose texts in a row are the whole text."""
-    df = df.withColumn("_u", F.split(F.col(text), UNIT, -1))
-    df = df.withColumn("_h", F.expr("transform(_u, x -> xxhash64(rtrim(' \n', x)))"))
-    df = df.withColumn(
-        "_e", F.expr(f"filter(sequence(1, size(_u)), i -> i = size(_u) or (i > 1 and pmod(xxhash64(_h[i - 2], _h[i - 1]), {DIVISOR}) = 0))")
-    )
-    df = df.withColumn("_c", F.expr("transform(_e, (e, k) -> struct(array_join(slice(_u, if(k = 0, 1, _e[k - 1] + 1), e - if(k = 0, 0, _e[k - 1])), '') as text, e - if(k = 0, 0, _e[k - 1]) as lines))"))
-    return df.drop("_u", "_h", "_e")
+def _units(text: str) -> F.Column:
+    return F.regexp_extract_all(F.col(text), F.lit(UNIT), F.lit(0))
+
+
+def _windows(df: DataFrame) -> DataFrame:
+    """A row for each window of `_text`: `_key`, `at` (its first unit, from 0, times 32, plus the number of units after that) and `h`."""
+    # Trimming with a set of characters and counting by a pattern are slow, and most texts have single blanks only.
+    plain = "octet_length(x) - octet_length(replace(x, ' ', '')) + if(endswith(x, ' '), 0, 1)"
+    df = df.withColumn("_u", _units("_text")).withColumn("_odd", F.col("_text").rlike(r"\s\s|^\s|[^\S \n]"))
+    df = df.withColumn("_w", F.expr(rf"if(_odd, transform(_u, x -> regexp_count(x, '\\S+')), transform(_u, x -> {plain}))"))
+    df = df.withColumn("_e", F.expr(r"transform(_u, x -> if(endswith(x, '\n'), left(x, length(x) - 1), rtrim(x)))"))
+    # The last unit of the shortest window from unit i on, or null without enough words.
+    some, reach = "w", f"case when w >= {WORDS} then i"
+    for k in range(1, WORDS):
+        some += f" + _w[i + {k}]"
+        reach += f" when i + {k} >= size(_w) then null when {some} >= {WORDS} then i + {k}"
+    df = df.withColumn("_f", F.expr(f"transform(_w, (w, i) -> {reach} end)"))
+    # The shortest window up to unit e begins at the last unit whose own window ends at e or before.
+    ends = "if(f is null, array(), sequence(f, greatest(f, if(i + 1 < size(_f) and _f[i + 1] is not null, _f[i + 1], size(_f)) - 1)))"
+    df = df.withColumn("_y", F.expr(f"flatten(transform(_f, (f, i) -> transform({ends}, e -> struct(i as s, e - i as k))))"))
+    run = "concat(array_join(slice(_u, y.s + 1, y.k), ''), _e[y.s + y.k])"
+    digest = rf"unhex(substring(sha2(if(_odd, trim(' \n', {run}), {run}), 256), 1, {DIGITS}))"
+    df = df.withColumn("_x", F.expr(f"transform(_y, y -> struct(_mark * {1 << 36} + y.s * 32 + y.k as at, {digest} as h))"))
+    # An inner explode would let the optimizer test the array in a filter below, which computes it again.
+    return df.select("_key", F.explode_outer("_x").alias("x")).filter("x is not null").select("_key", "x.at", "x.h")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs without repeated passages, with `n_removed` (chunks) added; rows that lose nothing stay as they are.
+    """docs without repeated passages, with `n_removed` (units) added; rows that lose nothing stay as they are.
 
-    Of a chunk's copies the first one in the document with the smallest key stays.  A null key or text, and an
+    Of a window's copies the first one in the document with the smallest key stays.  A null key or text, and an
     empty text, take no part and stay.  Rows with equal keys count as one document: whatever one
-    of them may keep, all may.  Columns named `_u`, `_h`, `_e`, `_c`, `_gone` or `n_removed` must not exist.
+    of them may keep, all may.  Columns named `_u`, `_t`, `_key`, `_mark`, `_m`, `_gone` or `n_removed` must not exist.
     """
-    cut = _chunks(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")).filter("_key is not null and _text <> ''"), "_text")
-    # An inner explode would let the optimizer test the array in a filter below, which computes it again.
-    rows = cut.select("_key", F.posexplode_outer("_c").alias("k", "c")).select("_key", "k", F.col("c.lines").alias("lines"), F.rtrim(F.col("c.text"), F.lit(" \n")).alias("bytes"))
-    rows = rows.withColumn("h", F.xxhash64("bytes"))
-    # Equal hashes with other bytes are other groups; the second hash keeps them apart in the join.
-    groups = rows.groupBy("h", "bytes").agg(F.count("*").alias("n"), F.min("_key").alias("first"))
-    again = groups.filter("n > 1 and bytes <> ''").select("h", F.xxhash64(F.lit(7), "bytes").alias("h2"), "first")
-    words = F.size(F.split("bytes", r"\s+"))
-    seen = rows.select("_key", "k", "lines", "h", F.xxhash64(F.lit(7), "bytes").alias("h2"), words.alias("words")).join(again, ["h", "h2"])
-    # One exchange by document serves both groupings.  Where the document may keep the chunk, its first place stays.
-    places = seen.repartition("_key").groupBy("_key", "h", "h2").agg(
-        F.min("k").alias("k0"), F.first("first").alias("first"), F.collect_list(F.struct("k", "lines", "words")).alias("at")
-    )
-    lost = F.expr("filter(at, x -> x.k > k0 or first <> _key)")
-    per_doc = places.groupBy("_key").agg(F.sort_array(F.flatten(F.collect_list(lost))).alias("s"))
-    per_doc = per_doc.withColumn("_b", F.expr("if(size(s) = 0, array(), filter(sequence(1, size(s)), i -> i = size(s) or s[i].k <> s[i - 1].k + 1))"))
-    per_doc = per_doc.withColumn("_r", F.expr("transform(_b, (e, j) -> slice(s, if(j = 0, 1, _b[j - 1] + 1), e - if(j = 0, 0, _b[j - 1])))"))
-    total = "aggregate(r, 0, (a, x) -> a + x.{0})"
-    runs = F.expr(f"filter(_r, r -> {total.format('lines')} >= {LINES} and {total.format('words')} >= {WORDS})")
-    gone = per_doc.select("_key", F.transform(F.flatten(runs), lambda x: x["k"]).alias("_gone"))
-    out = docs.join(gone, docs[key] == gone["_key"], "left").drop("_key")
-    hit = _chunks(out.withColumn("_t", F.when(F.size("_gone") > 0, F.col(text))), "_t")
-    # What lies between the removed chunks, which are in order.
-    gap = "slice(_c, if(j = 0, 1, _gone[j - 1] + 2), if(j = size(_gone), size(_c), _gone[j]) - if(j = 0, 0, _gone[j - 1] + 1))"
-    left = F.expr(f"array_join(transform(flatten(transform(sequence(0, size(_gone)), j -> {gap})), c -> c.text), '')")
+    mark = F.xxhash64(F.col(text)).bitwiseAND(F.lit((1 << 24) - 1))  # tells texts with equal keys apart
+    part = docs.select(F.col(key).alias("_key"), mark.alias("_mark"), F.col(text).alias("_text")).filter("_key is not null and _text <> ''")
+    rows = _windows(part)
+    groups = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("_key").alias("first"))
+    # One more key than the grouping's, always equal: the join gets exchanges of its own, so that the planner can split a frequent window.
+    again = groups.filter("n > 1").select("h", F.octet_length("h").alias("h2"), "first")
+    seen = rows.withColumn("h2", F.octet_length("h")).join(again, ["h", "h2"]).select("_key", F.expr("shiftright(at, 36)").alias("_m"), "at", "h", "first")
+    # One exchange by document serves both groupings.  Where the document may keep the window, its first place stays.
+    places = seen.repartition("_key").groupBy("_key", "_m", "h").agg(F.min("at").alias("at0"), F.first("first").alias("first"), F.collect_list("at").alias("at"))
+    unit = "int(shiftright({}, 5) & 2147483647)"
+    # What the first copy holds itself stays, where a copy overlaps it.
+    begin = f"if(first = _key, greatest({unit.format('x')}, {unit.format('at0')} + int(x & 31) + 1), {unit.format('x')})"
+    lost = F.expr(f"flatten(transform(filter(at, x -> x > at0 or first <> _key), x -> sequence({begin}, {unit.format('x')} + int(x & 31))))")
+    gone = places.groupBy("_key", "_m").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(lost)))).alias("_gone"))
+    out = docs.withColumn("_mark", mark).join(gone, (F.col(key) == F.col("_key")) & (F.col("_mark") == F.col("_m")), "left")
+    hit = out.withColumn("_t", F.when(F.size("_gone") > 0, F.col(text))).withColumn("_u", _units("_t"))
+    # What lies between the removed units, which are in order, and white space after the last unit.
+    gap = "slice(_u, int(if(j = 0, 1, _gone[j - 1] + 2)), int(if(j = size(_gone), size(_u), _gone[j]) - if(j = 0, 0, _gone[j - 1] + 1)))"
+    left = F.expr(f"concat(array_join(flatten(transform(sequence(0, size(_gone)), j -> {gap})), ''), substring(_t, length(array_join(_u, '')) + 1))")
     new = F.when(F.size("_gone") > 0, left).otherwise(F.col(text))
     return hit.select(*((new if c == text else F.col(c)).alias(c) for c in docs.columns), F.greatest(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
 

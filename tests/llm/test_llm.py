@@ -132,6 +132,34 @@ def test_line_dedup(spark):
     assert linededup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_line_dedup_finds_every_repeated_passage_of_whole_units(spark):
+    """Against brute force over all runs of units, with passages of 51 words and more put into other documents."""
+    r = random.Random(5)
+    sentence = lambda n: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(n)) + "."
+    passages = [" ".join(sentence(n) for n in sizes) for sizes in ([60], [51], [25, 5, 21], [5, 5, 45], [30, 3, 20, 4], [9] * 9, [1] * 55)]
+    texts = [p + "\n" + sentence(7) for p in passages]
+    for k, p in enumerate(passages * 3):
+        texts.append(sentence(1 + k % 12) + "\n\n"[: k % 3] + " " + p + ("\n" if k % 2 else " ") + sentence(30))
+    texts += ["\t" + passages[0].replace(" ", "  ", 3) + "\n \n" + sentence(3), sentence(12) + "\n" + sentence(11) + " " + (s := sentence(10)) + " " + s + " " + s + " " + s + " \n\n"]
+    rows = sorted(linededup.dedup_lines(docs(spark, *texts)).collect(), key=lambda x: x["doc_id"])
+    units = [re.findall(linededup.UNIT.replace(r"\z", r"\Z"), t) for t in texts]
+    place, gone = {}, [set() for _ in texts]
+    for d, u in enumerate(units):
+        for i in range(len(u)):
+            for j in range(i, len(u)):
+                run = "".join(u[i : j + 1]).strip(" \n")
+                if len(run.split()) >= 20:
+                    d0, i0 = place.setdefault(run, (d, i))
+                    if (d0, i0) != (d, i):
+                        gone[d] |= set(range(max(i, i0 + j - i + 1) if d0 == d else i, j + 1))
+    for d, u in enumerate(units):
+        assert rows[d]["n_removed"] == len(gone[d])
+        assert rows[d]["text"] == "".join(x for k, x in enumerate(u) if k not in gone[d]) + texts[d][len("".join(u)) :]
+    assert all(p not in x["text"] for x in rows[len(passages) : 4 * len(passages)] for p in passages)
+    twice = spark.createDataFrame([(1, passages[0] + " " + texts[0], "x"), (2, passages[1] + "\n" + texts[8], "x"), (2, sentence(40), "x")], DOC)
+    assert sorted(x["n_removed"] for x in linededup.dedup_lines(twice).collect())[0] == 0
+
+
 # Decontamination
 
 
