@@ -160,6 +160,25 @@ def test_line_dedup_finds_every_repeated_passage_of_whole_units(spark):
     assert sorted(x["n_removed"] for x in linededup.dedup_lines(twice).collect())[0] == 0
 
 
+def test_line_dedup_stage_like_a_search_for_50_words(spark):
+    """The pipeline's stage: no 50 words in a row of whole sentences are left at two places."""
+    import corpus_pipeline
+
+    r = random.Random(9)
+    sentence = lambda n: " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(n)) + ". "
+    passages = ["".join(sentence(n) for n in r.choices([3, 8, 20, 51], k=3)) + sentence(51) for _ in range(8)]
+    texts = [sentence(9) + p + sentence(9) for p in passages * 4]
+    stage = dict(corpus_pipeline.STAGES)["line dedup"]
+    left = [x["text"] for x in stage(spark, docs(spark, *texts), "").collect()]
+
+    def repeated(texts):
+        words = [t.split() for t in texts]
+        n = Counter(tuple(w[k : k + 50]) for w in words for k in range(len(w) - 49))
+        return sum(x - 1 for x in n.values())
+
+    assert len(left) == len(texts) and repeated(texts) > 0 and repeated(left) == 0
+
+
 # Decontamination
 
 
