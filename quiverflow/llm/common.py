@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import gc
+import shutil
 import sys
 import tempfile
 
@@ -17,20 +20,34 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+@functools.cache
+def _own_folder() -> str:
+    """A folder of this process, for local masters only; it goes when the process ends."""
+    folder = tempfile.mkdtemp(prefix="quiverflow-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir.  Without it only a local master, where all share a disk, gets one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    master = spark.sparkContext.master
+    if not folder and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or _own_folder()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and read it from there from now on."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quiverflow-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let Spark remove the files of shuffles and checkpoints that nothing refers to any more; it does so only once the
-    driver's garbage is collected, which a loop of many small jobs may never bring about."""
+    """Let Spark remove the files of shuffles that nothing refers to any more, and with spark.cleaner.referenceTracking.cleanCheckpoints
+    those of checkpoints too; it does so only once the driver's garbage is collected, which a loop of small jobs may never bring about."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
 
@@ -41,16 +58,21 @@ def worker_state() -> dict:
 
 
 class WordTable(dict):
-    """word -> fn(word), remembered; forgets everything once it holds `most` words."""
+    """word -> fn(word), remembered; forgets everything once it holds `most` words, and never remembers words of more than `LONG`
+    letters, so that its size is bounded in bytes."""
+
+    LONG = 64
 
     def __init__(self, fn, most: int = 100_000):
         super().__init__()
         self.fn, self.most = fn, most
 
     def __missing__(self, word):
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = value = self.fn(word)
+        value = self.fn(word)
+        if len(word) <= self.LONG:
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = value
         return value
 
 

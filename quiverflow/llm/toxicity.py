@@ -6,6 +6,7 @@ see them as they will be on new documents.  Features: presence of words, of thei
 
 from __future__ import annotations
 
+import pickle
 import re
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from .common import SLICE, WordTable, read, slices, word_hash
 
 #: Bound of the labelled sample that the models are fitted on (the smallest by a hash of the id), and of the features of a model.
+#: One task holds the sample's features, some 1,000 numbers a document.
 SAMPLE, FEATURES = 12_000, 4_000
 FOLDS, ROUNDS, L2 = 3, 150, 0.3
 #: Categories in the chain's order, as SQL over the columns of `labels`.
@@ -106,8 +108,10 @@ def predict(model: dict, docs: list[np.ndarray], earlier: np.ndarray) -> np.ndar
 def fit_chain(docs: list[np.ndarray], labels: np.ndarray) -> list[dict]:
     """A model for each column of labels; docs: each one's features.  Folds go by place."""
     fold, models, seen = np.arange(len(docs)) % FOLDS, [], np.zeros((len(docs), 0))
-    for y in labels.T.astype(float):
+    for c, y in enumerate(labels.T.astype(float)):
         models.append(fit(docs, seen, y))
+        if c + 1 == labels.shape[1]:  # no later model needs its probabilities
+            break
         out = np.zeros(len(docs))
         for k in range(FOLDS):
             a, b = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
@@ -117,11 +121,16 @@ def fit_chain(docs: list[np.ndarray], labels: np.ndarray) -> list[dict]:
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[dict]:
-    """The chain, fitted on at most `sample` labelled documents (a stated bound; the driver holds their features)."""
+    """The chain, fitted on at most `sample` labelled documents, a stated bound.
+
+    One task of an executor fits it; only the models come to the driver.  Where one doc_id has several rows of labels, it is in
+    a category if any of them says so, and where it has several texts, one of them counts, always the same.  Without labelled
+    rows all weights are 0.
+    """
     import pyarrow as pa
 
-    flags = [F.coalesce(F.expr(sql), F.lit(False)).cast("int").alias(c) for c, sql in CHAIN.items()]
-    known = labels.filter("doc_id is not null").select("doc_id", *flags).dropDuplicates(["doc_id"])
+    flags = [F.max(F.coalesce(F.expr(sql), F.lit(False)).cast("int")).alias(c) for c, sql in CHAIN.items()]
+    known = labels.filter("doc_id is not null").groupBy("doc_id").agg(*flags)
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
     def run(batches):
@@ -130,16 +139,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> list[dict
             found = [np.array(sorted(present(t, table)), np.int32).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", *CHAIN)), pa.array(found, pa.binary())], ["doc_id", *CHAIN, "found"])
 
+    def learn(batches):
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["doc_id"])
+        found = [np.frombuffer(r["found"], np.int32) for r in rows]
+        flags = np.array([[r[c] for c in CHAIN] for r in rows]).reshape(-1, len(CHAIN))
+        del rows
+        # Features of fewer than three documents are never chosen, and most are such ones.
+        names, n = np.unique(np.concatenate([*found, np.zeros(0, np.int32)]), return_counts=True)
+        names = names[n >= 3]
+        found = [d[np.isin(d, names, assume_unique=True)] for d in found]
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit_chain(found, flags))])], ["models"])
+
     schema = "doc_id long, " + ", ".join(f"{c} int" for c in CHAIN) + ", found binary"
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInArrow(run, schema).collect()
-    rows = list({r["doc_id"]: r for r in sorted(rows, key=lambda r: (r["doc_id"], r["found"]))}.values())
-    found = [np.frombuffer(r["found"], np.int32) for r in rows]
-    flags = np.array([[r[c] for c in CHAIN] for r in rows]).reshape(-1, len(CHAIN))
-    del rows
-    # Features of fewer than three documents are never chosen; most are, and the driver needn't hold them.
-    names, n = np.unique(np.concatenate([*found, np.zeros(0, np.int32)]), return_counts=True)
-    names = names[n >= 3]
-    return fit_chain([d[np.isin(d, names, assume_unique=True)] for d in found], flags)
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInArrow(run, schema)
+    rows = rows.groupBy("doc_id", *CHAIN).agg(F.max("found").alias("found")).repartition(1)
+    done = rows.mapInArrow(learn, "models binary").collect()
+    return pickle.loads(done[0][0]) if done else fit_chain([], np.zeros((0, len(CHAIN))))
 
 
 def score(docs: DataFrame, models: list[dict], text: str = "text") -> DataFrame:
