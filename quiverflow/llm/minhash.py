@@ -2,18 +2,19 @@
 
 A shingle is five words; its weight is its count times the mean inverse document frequency of its
 words.  (Frequencies of whole shingles would punish exactly the groups that are looked for: a large
-group of copies makes its own shingles common and the few that differ rare.)  Document frequencies are counted over all
-documents in a table of fixed size, by word hash.
+group of copies makes its own shingles common and the few that differ rare.)  Document frequencies are counted exactly over all
+documents.  A word in less than a share RARE of them weighs as much as one in just that share, so the words that must be known
+to every task are at most a document's mean number of different words over RARE, whatever the corpus's size.
 
 A sample is consistent (Ioffe 2010): of each shingle with weight S, t = floor(ln S / r + b) and ln a = ln c - r (t - b + 1);
-the shingle with the least a is drawn, two documents draw alike with a probability of their weighted Jaccard
-similarity.  r, c ~ Gamma(2, 1) and b ~ U(0, 1) come from tables that a shingle's hash points into.
+the shingle with the least a is drawn, and with its t it is the sample; two documents draw alike with a probability of their
+weighted Jaccard similarity.  r, c ~ Gamma(2, 1) and b ~ U(0, 1) are read from tables by different bits of a hash of shingle and sample.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordTable, components, cut, read, slices, tidy, word_hash
@@ -21,50 +22,72 @@ from .common import WordTable, components, cut, read, slices, tidy, word_hash
 SHINGLE, SIMILAR = 5, 0.8
 #: Bands and samples in each; a pair at 0.8 shares a band with a probability of 0.998.
 BANDS, ROWS = 12, 4
-#: Entries of the document-frequency table and of the random tables.
-WORD_SLOTS, RANDOM_SLOTS = 1 << 16, 1 << 14
+#: Words in a smaller share of the documents count as words in this share.
+RARE = 1e-4
+#: Entries (a power of two) of the tables of r, c and b.
+TABLE_BITS = 14
 #: Samples of all that a pair must share to be verified; a pair at 0.8 falls below with a probability of 0.0003.
 SHARED = 29
-#: Texts of a band group that are compared with all others in the first round, and in each later one; and the words that they may have together.
-PIVOTS, PROBES, PROBE_WORDS = 8, 1024, 1_000_000
-#: Texts of a band group, beside the probes, that are compared in one block; and the most ids (of eight bytes) that are broadcast to pick texts.
-BLOCK, SENT_IDS = 512, 500_000
+#: Texts of a band group that are compared in one block, the words that these have together (but for one text), and texts of a larger group that go into all its blocks.
+BLOCK, BLOCK_WORDS, PIVOTS = 512, 1_000_000, 8
 #: A sample's last byte is kept, eight to a column.
 DRAWS = [f"d{k}" for k in range(BANDS * ROWS // 8)]
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Words that a task counts before it passes them on.
+FLUSH = 1 << 20
 
 
 def words_of(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
-def document_frequency(docs: DataFrame, text: str = "text") -> tuple[int, np.ndarray]:
-    """Number of documents with words, and for each slot how many hold one of its words."""
+class Idf:
+    """ln((documents + 1) / (frequency + 1)) + 1, where a frequency is at least RARE of all documents.  words: sorted hashes; n: their frequencies."""
+
+    def __init__(self, documents: int, words: np.ndarray, n: np.ndarray):
+        self.words, self.most = words, float(np.log((documents + 1) / (RARE * documents + 1)) + 1)
+        self.idf = np.minimum(np.log((documents + 1) / (n + 1)) + 1, self.most)
+
+    def __call__(self, word: int) -> float:
+        k = int(np.searchsorted(self.words, word))
+        return float(self.idf[k]) if k < len(self.words) and self.words[k] == word else self.most
+
+
+def document_frequency(docs: DataFrame, text: str = "text") -> Idf:
+    """From the number of documents with words and, for each word, of those that hold it."""
     import pyarrow as pa
 
     def run(batches):
-        total, n, slot = np.zeros(WORD_SLOTS, np.int64), 0, WordTable(lambda w: word_hash(w) % WORD_SLOTS)
+        held, size, n, hashed = [], 0, 0, WordTable(word_hash)
+
+        def out():
+            k, count = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(count)], ["word", "n"])
+
         for b in slices(batches):
             for t in b.column(0).to_pylist():
                 if w := words_of(t):
-                    total[list({slot[x] for x in set(w)})] += 1
-                    n += 1
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], ["slot", "n"])
+                    held.append(np.unique(np.array([hashed[x] for x in set(w)], np.int64)))
+                    size, n = size + len(held[-1]), n + 1
+            if size > FLUSH:
+                yield out()
+                size = 0
+        yield out()
+        yield pa.RecordBatch.from_arrays([pa.array([-1]), pa.array([n])], ["word", "n"])
 
-    df = docs.select(text).mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    got = dict(df.collect())  # at most WORD_SLOTS + 1 rows
-    out = np.zeros(WORD_SLOTS, np.int64)
-    n = got.pop(-1, 0)
-    out[list(got)] = list(got.values())
-    return n, out
+    counts = cut(docs.select(text).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    documents = counts.filter("word = -1").agg(F.sum("n")).first()[0] or 0
+    rows = counts.filter((F.col("word") >= 0) & (F.col("n") > RARE * documents)).toPandas()
+    rows = rows.sort_values("word")
+    return Idf(documents, rows["word"].to_numpy(np.int64), rows["n"].to_numpy(np.int64))
 
 
 class Shingler:
-    """Weighted shingles of texts.  idf: by word slot."""
+    """Weighted shingles of texts.  idf: of a word's hash."""
 
-    def __init__(self, idf: np.ndarray):
-        self.words = WordTable(lambda w: ((h := word_hash(w)), idf[h % WORD_SLOTS]))
+    def __init__(self, idf):
+        self.words = WordTable(lambda w: ((h := word_hash(w)), idf(h)))
 
     def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Sorted shingle hashes and their weights, for each text; a text of fewer than five words is one shingle."""
@@ -89,17 +112,18 @@ class Shingler:
 
 def random_tables(samples: int, seed: int = 5):
     g = np.random.default_rng(seed)
-    r, c, b = g.gamma(2, 1, RANDOM_SLOTS), g.gamma(2, 1, RANDOM_SLOTS), g.random(RANDOM_SLOTS)
+    r, c, b = g.gamma(2, 1, 1 << TABLE_BITS), g.gamma(2, 1, 1 << TABLE_BITS), g.random(1 << TABLE_BITS)
     odd = g.integers(1, 1 << 63, samples, np.uint64) | np.uint64(1)
     f = lambda x: x.astype(np.float32)
-    return f(1 / r), f(b), f(r), f(np.log(c) - r * (1 - b)), odd
+    return f(r), f(1 / r), f(np.log(c)), f(b), odd
 
 
 def samples_of(shingles: list[tuple[np.ndarray, np.ndarray]], tables) -> np.ndarray:
-    """For each text and sample the least ln a, which stands for the shingle drawn and its t.  No text may be empty."""
-    inv, b, r, q, odd = tables
-    out = np.zeros((len(shingles), len(odd)), np.float32)
+    """For each text and sample 64 bits: ln a of the shingle drawn, which tells its t, and 32 bits of its hash.  No text may be empty."""
+    r, inv, log_c, b, odd = tables
+    out = np.zeros((len(shingles), len(odd)), np.int64)
     size = np.array([len(k) for k, _ in shingles])
+    mask, low = (1 << TABLE_BITS) - 1, np.int64((1 << 32) - 1)
     at = 0
     while at < len(size):  # texts whose shingles together fit a cache
         end = at + max(1, int(np.searchsorted(np.cumsum(size[at:]), 1 << 14)))
@@ -107,9 +131,12 @@ def samples_of(shingles: list[tuple[np.ndarray, np.ndarray]], tables) -> np.ndar
         log = np.log(np.concatenate([w for _, w in shingles[at:end]])).astype(np.float32)
         starts = np.append(0, np.cumsum(size[at:end])[:-1])
         for j, m in enumerate(odd):
-            k = ((keys * m) >> np.uint64(64 - 14)).astype(np.int32)
-            t = np.floor(log * inv[k] + b[k])
-            out[at:end, j] = np.minimum.reduceat(q[k] - r[k] * t, starts)
+            h = (keys * m >> np.uint64(64 - 3 * TABLE_BITS)).astype(np.int64)
+            kr, kb = h >> (2 * TABLE_BITS), h >> TABLE_BITS & mask
+            x, y = r[kr], b[kb]
+            a = (log_c[h & mask] - x * (np.floor(log * inv[kr] + y) - y + 1)).view(np.int32)
+            a = a ^ ((a >> 31) & 0x7FFFFFFF)  # whole numbers in the order of the floats
+            out[at:end, j] = np.minimum.reduceat(a.astype(np.int64) << 32 | h & low, starts)
         at = end
     return out
 
@@ -126,159 +153,201 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(least / (a[1].sum() + b[1].sum() - least))
 
 
+def meetings(member: DataFrame, draws: DataFrame) -> DataFrame:
+    """Texts that have something to be compared with: band, tile, side, rep, component, place.
+
+    member: band, tile, side, rep, component.  In a tile, texts of side 2 are compared with each other, those of sides 0 and 1
+    with those of the other side.  draws: rep, bands, alone (bits of the bands whose group is one block) and DRAWS.
+    A pair meets if it shares SHARED samples and no earlier band that is compared in one block.
+    """
+    import pyarrow as pa
+
+    names = ["band", "tile", "side", "rep", "component"]
+
+    def run(batches):
+        at, held = None, []
+
+        def out():
+            seen = tile_pairs(held, np.array([h[5] for h in held]), np.array([h[6] for h in held]), np.array([h[7] for h in held], np.int64), at[0])
+            near = np.zeros(len(held), bool)
+            for i, j in seen:
+                near[i] = True
+                near[j] = True
+            rows = [held[k][:5] for k in np.flatnonzero(near)]
+            return pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in rows], pa.schema([(c, pa.int64()) for c in names]))
+
+        for b in slices(batches):
+            cols = [b.column(c).to_pylist() for c in names]
+            drawn = np.column_stack([b.column(d).to_numpy() for d in DRAWS]).view(np.uint8)
+            bands, alone = b.column("bands").to_pylist(), b.column("alone").to_pylist()
+            for k, row in enumerate(zip(*cols, strict=True)):
+                if row[:2] != at:
+                    if len(held) > 1:
+                        yield out()
+                    at, held = row[:2], []
+                held.append((*row, drawn[k], bands[k], alone[k]))
+        if len(held) > 1:
+            yield out()
+
+    rows = member.join(draws, "rep").select(*names, "bands", "alone", *DRAWS).repartition("band", "tile").sortWithinPartitions("band", "tile", "side", "rep")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in names))
+
+
+def tile_pairs(held, drawn: np.ndarray, bands: np.ndarray, alone: np.ndarray, band: int):
+    """(i, earlier ones that i is to be compared with), i ascending."""
+    side, comp, rep = (np.array([h[k] for h in held], np.int64) for k in (2, 4, 3))
+    bit = np.int64(1) << np.arange(bands.shape[1], dtype=np.int64)
+    place = int(np.flatnonzero((bands == band).any(0))[0])
+    ours = (alone[:, None] & bit[None, :place]) != 0
+    for i in range(1, len(held)):
+        ok = (comp[:i] != comp[i]) & (rep[:i] != rep[i]) & ((side[:i] != side[i]) | (side[:i] == 2))
+        if not ok.any():
+            continue
+        ok[ok] = (drawn[:i][ok] == drawn[i]).sum(1) >= SHARED
+        if place and ok.any():
+            ok[ok] = ~((bands[:i, :place][ok] == bands[i, :place]) & ours[i]).any(1)
+        if ok.any():
+            yield i, np.flatnonzero(ok)
+
+
+def links_of(met: DataFrame, draws: DataFrame, docs: DataFrame, shingler, similar: float) -> DataFrame:
+    """(a, b): components to be merged, by pairs that meet and are similar; pairs whose components the tile has merged already are passed over."""
+    import pyarrow as pa
+
+    names = ["band", "tile", "side", "rep", "component"]
+
+    def run(batches):
+        make, at, held = shingler(), None, []
+
+        def out():
+            drawn, bands, alone = np.array([h[5] for h in held]), np.array([h[6] for h in held]), np.array([h[7] for h in held], np.int64)
+            up: dict[int, int] = {}
+
+            def top(c: int) -> int:
+                while (above := up.get(c, c)) != c:
+                    up[c] = c = up.get(above, above)
+                return c
+
+            found = [], []
+            for i, near in tile_pairs(held, drawn, bands, alone, at[0]):
+                for j in near.tolist():
+                    if (x := top(held[j][4])) != (y := top(held[i][4])) and similarity(held[j][8], held[i][8]) >= similar:
+                        up[max(x, y)] = min(x, y)
+                        found[0].append(max(x, y))
+                        found[1].append(min(x, y))
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["a", "b"])
+
+        for b in slices(batches):
+            cols = [b.column(c).to_pylist() for c in names]
+            drawn = np.column_stack([b.column(d).to_numpy() for d in DRAWS]).view(np.uint8)
+            bands, alone, texts = b.column("bands").to_pylist(), b.column("alone").to_pylist(), b.column("text").to_pylist()
+            for k, row in enumerate(zip(*cols, strict=True)):
+                if row[:2] != at:
+                    if len(held) > 1:
+                        yield out()
+                    at, held = row[:2], []
+                held.append((*row, drawn[k], bands[k], alone[k], make([texts[k]])[0]))
+        if len(held) > 1:
+            yield out()
+
+    texts = docs.withColumnRenamed("doc_id", "rep").join(met.select("rep").distinct(), "rep").dropDuplicates(["rep"])
+    rows = met.join(texts, "rep").join(draws, "rep").select(*names, "bands", "alone", *DRAWS, "text")
+    rows = rows.repartition("band", "tile").sortWithinPartitions("band", "tile", "side", "rep")
+    return rows.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", similar: float = SIMILAR) -> DataFrame:
     """doc_id, class_id, kept for each document: its class is the smallest id that it reaches over links.
 
     Links: weighted Jaccard of at least `similar` between documents that share a band and SHARED samples.  Equal word sequences are one text
     from the start, by a 128-bit hash.  Every pair of different texts that meets in a band is either compared or already in one class:
-    a few texts of each band group are compared with all others, and then, while a group holds texts of several classes, those
-    outside its largest class with all that are not in theirs, some in each round.  Blocks of a group are compared where
-    its texts lie, so a text travels once a block and not once a pair, and a pair is compared in the first band that it shares.
-    Case counts for nothing, white space only separates.  Null and empty texts are classes of their own.  Rows with
-    one key must be copies of each other and give one row; rows with a null key are left out, as they can't be named.
+    a band's group is dealt into blocks, all pairs of a block are compared, and a few texts of the group in all its blocks; then, of
+    groups of more than one block and more than one class, the texts outside the largest class with all texts, tile by tile.  A text
+    travels once a block in which it meets something, not once a pair.
+
+    Case counts for nothing, white space only separates.  Empty texts are equal texts; null texts are classes of their own.  Rows with
+    one key must be copies of each other and give one row; rows with a null key are left out, as they can't be named.  Very long
+    texts count whole.  An empty table gives no rows; columns beside key and text are not looked at.
     """
     import pyarrow as pa
     import xxhash
 
-    spark = docs.sparkSession
-    sc = spark.sparkContext
+    sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null")
-    n, df = document_frequency(docs)
-    idf = sc.broadcast(np.log((n + 1) / (df + 1)) + 1)
-    tables = sc.broadcast(random_tables(BANDS * ROWS))
+    idf, tables = sc.broadcast(document_frequency(docs)), sc.broadcast(random_tables(BANDS * ROWS))
+    shingler = lambda: Shingler(idf.value)
+    bands = [f"b{k}" for k in range(BANDS)]
+    marks = [*bands, "words", *DRAWS]
 
     def sign(batches):
-        shingler = Shingler(idf.value)
+        make = shingler()
         for b in slices(batches):
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             normal = [" ".join(words_of(t)) for t in texts]
             rows = [k for k, t in enumerate(normal) if t]
-            shingles = shingler([texts[k] for k in rows])
-            drawn = samples_of(shingles, tables.value) if rows else np.zeros((0, BANDS * ROWS), np.float32)
-            bands = np.full((len(rows), BANDS), 0, np.uint64) + np.arange(BANDS, dtype=np.uint64)
+            drawn = samples_of(make([texts[k] for k in rows]), tables.value) if rows else np.zeros((0, BANDS * ROWS), np.int64)
+            drawn = drawn.view(np.uint64) * MIX
+            drawn ^= drawn >> np.uint64(32)
+            full = np.zeros((len(rows), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
             for j in range(ROWS):
-                bands = (bands ^ drawn[:, j::ROWS].copy().view(np.uint32).astype(np.uint64)) * MIX
-                bands ^= bands >> np.uint64(31)
-            bands = bands.view(np.int64)
-            words = [len(normal[k].split()) for k in range(len(ids))]
-            short = (drawn.view(np.uint32) * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.uint8).view(np.int64)
-            same, full, draws = [None] * len(ids), [None] * len(ids), np.zeros((len(ids), len(DRAWS)), np.int64)
-            draws[rows] = short
-            for j, k in enumerate(rows):
-                same[k], full[k] = xxhash.xxh3_128_digest(normal[k].encode("utf-8", "surrogatepass")), bands[j]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), pa.array(full, pa.list_(pa.int64())), pa.array(words), *map(pa.array, draws.T)], ["doc_id", "same", "bands", "words", *DRAWS])
-
-    signed = cut(docs.mapInArrow(sign, "doc_id long, same binary, bands array<long>, words long, " + ", ".join(f"{d} long" for d in DRAWS)))
-    texts = signed.filter("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"))
-    whole = signed.filter("same is not null").select("doc_id", "same").join(texts, "same").select("doc_id", "rep").distinct()
-    whole = cut(whole)
-    reps = cut(signed.filter("same is not null").join(whole.filter("doc_id = rep").select("doc_id"), "doc_id").dropDuplicates(["doc_id"]))
-    member = reps.select("words", F.col("doc_id").alias("rep"), F.explode("bands").alias("band"))
-    shared = member.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1").select("band")
-    member = cut(member.join(shared, "band"))
-    def picked(df: DataFrame, most: int) -> DataFrame:
-        """At most that many rows of each band, and of so many words together, but one at least."""
-        order = Window.partitionBy("band").orderBy(F.xxhash64("rep"), "rep")
-        some = df.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most)
-        return some.withColumn("_w", F.sum("words").over(order)).filter((F.col("_n") == 1) | (F.col("_w") <= PROBE_WORDS)).drop("_w")
-
-    def candidates(batches):
-        """For each block the rows of right that have candidates, with those, and the rows of left that are some row's."""
-        at, ids, need = None, [], set()
-        rows: list[tuple] = []
-        for b in slices(batches):
-            band_of, block_of, reps_, comps, places = (b.column(c).to_pylist() for c in ("band", "block", "rep", "component", "_n"))
-            drawn = np.column_stack([b.column(d).to_numpy() for d in DRAWS]).view(np.uint8)
-            bands = np.array(b.column("bands").to_pylist(), np.int64)
-            for k, probe in enumerate(b.column("probe").to_pylist()):
-                if (band_of[k], block_of[k]) != at:
-                    rows += [(*at, *ids[j], None) for j in sorted(need)] if at else []
-                    at, ids, need, stack, held = (band_of[k], block_of[k]), [], set(), [], None
-                if probe:
-                    ids.append((reps_[k], comps[k]))
-                    stack.append((drawn[k], bands[k], comps[k], places[k]))
-                    continue
-                held = held or tuple(map(np.array, zip(*stack, strict=True)))
-                same = held[1] == bands[k]
-                ok = ((held[0] == drawn[k]).sum(1) >= SHARED) & (bands[k][same.argmax(1)] == at[0]) & (held[2] != comps[k])
-                if places[k] is not None:
-                    ok &= held[3] < places[k]
-                if len(near := np.flatnonzero(ok).tolist()):
-                    need.update(near)
-                    rows.append((*at, reps_[k], comps[k], [ids[j][0] for j in near]))
-            yield pa.RecordBatch.from_pylist([dict(zip(found.names, r, strict=True)) for r in rows], found)
-            rows = []
-        yield pa.RecordBatch.from_pylist([dict(zip(found.names, (*at, *ids[j], None), strict=True)) for j in sorted(need)], found)
-
-    found = pa.schema([*((c, pa.int64()) for c in ("band", "block", "rep", "component")), ("probes", pa.list_(pa.int64()))])
-    marks = reps.select(F.col("doc_id").alias("rep"), "bands", *DRAWS)
-
-    def compare(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Links (a, b) between texts of left and right that share a band and lie in different classes, enough to merge those classes."""
-        right = right.join(left.select("band", "rep", "_n"), ["band", "rep"], "left")
-        blocks = right.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-        cols = ["band", "block", "rep", "component", "_n", "probe"]
-        ours = left.join(blocks, "band").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        theirs = right.join(blocks, "band").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks"))
-        rows = ours.withColumn("probe", F.lit(True)).select(cols).union(theirs.withColumn("probe", F.lit(False)).select(cols)).join(marks, "rep")
-        rows = rows.repartition("band", "block").sortWithinPartitions("band", "block", F.col("probe").desc())
-        rows = cut(rows.mapInArrow(candidates, "band long, block long, rep long, component long, probes array<long>"))
-        ids = cut(rows.select(F.col("rep").alias("doc_id")).distinct())
-        held = docs.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, "doc_id", "left_semi").withColumnRenamed("doc_id", "rep")
-        rows = rows.join(held, "rep").select("band", "block", "rep", "component", "probes", "text")
-        rows = rows.repartition("band", "block").sortWithinPartitions("band", "block", F.col("probes").isNotNull())
-
-        def run(batches):
-            shingler, at, probes, up = Shingler(idf.value), None, {}, {}
-
-            def top(c: int) -> int:
-                while (c_up := up.get(c, c)) != c:
-                    up[c] = c = up.get(c_up, c_up)
-                return c
-
-            for b in slices(batches):
-                found = [], []
-                for band, block, rep, component, near, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                    if (band, block) != at:
-                        at, probes, up = (band, block), {}, {}
-                    mine = shingler([text])[0]
-                    if near is None:
-                        probes[rep] = component, mine
-                        continue
-                    for a in near:
-                        other, theirs = probes[a]
-                        if (x := top(other)) != (y := top(component)) and similarity(theirs, mine) >= similar:
-                            up[x] = y
-                            found[0].append(a)
-                            found[1].append(rep)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["a", "b"])
-
-        return rows.mapInArrow(run, "a long, b long")
-
-    single = member.withColumn("component", F.col("rep"))
-    first = cut(picked(single, PIVOTS))
-    links = cut(compare(first, single))
-    tried = first.select("band", "rep")
-    while True:
-        classes = components(links)
-        now = member.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        parts = now.groupBy("band", "component").agg(F.count("*").alias("n"))
-        largest = parts.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top")).filter("parts > 1").select("band", F.col("top.component").alias("top"))
-        open_ = cut(now.join(largest, "band"))
-        todo = open_.filter("component <> top").join(tried, ["band", "rep"], "left_anti")
-        some = cut(picked(todo, PROBES).drop("top"))
-        if some.isEmpty():
-            break
-        links = cut(links.union(compare(some, open_.join(some.select("band").distinct(), "band", "left_semi"))))
-        tried = cut(tried.union(some.select("band", "rep")))
-        tidy(spark)
-    named = whole.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
-    alone = signed.filter("same is null").select("doc_id", F.col("doc_id").alias("class_id")).distinct()
-    return named.union(alone).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+                full = (full ^ drawn[:, j::ROWS]) * MIX
+                full ^= full >> np.uint64(31)
+            values = np.zeros((len(ids), len(marks)), np.int64)
+            values[rows, :BANDS] = full.view(np.int64)
+            values[:, BANDS] = [t.count(" ") + 1 if t else 0 for t in normal]
+            values[rows, BANDS + 1 :] = (drawn & np.uint64(255)).astype(np.uint8).view(np.int64)
+            same = [None if t is None else xxhash.xxh3_128_digest(n.encode("utf-8", "surrogatepass")) for t, n in zip(texts, normal, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), *map(pa.array, values.T)], ["doc_id", "same", *marks])
+
+    signed = cut(docs.mapInArrow(sign, "doc_id long, same binary, " + ", ".join(f"{c} long" for c in marks)))
+    # Rows of equal texts have equal marks; the grouping combines them before it shuffles.
+    reps = cut(signed.filter("same is not null").groupBy("same").agg(F.min("doc_id").alias("rep"), *(F.max(c).alias(c) for c in marks)))
+    held = reps.filter("words > 0")
+    member = held.select("rep", "words", F.posexplode(F.array(*bands)).alias("k", "band"))
+    sizes = member.groupBy("band").agg(F.count("*").alias("n"), F.sum("words").alias("w")).filter("n > 1")
+    sizes = sizes.select("band", F.expr(f"greatest(ceil(n / {BLOCK}), ceil(w / {BLOCK_WORDS}))").alias("blocks"))
+    member = cut(member.join(sizes, "band").select("rep", "k", "band", "blocks"))
+    alone = member.filter("blocks = 1").groupBy("rep").agg(F.sum(F.expr("shiftleft(1L, k)")).alias("alone"))
+    draws = held.select("rep", F.array(*bands).alias("bands"), *DRAWS).join(alone, "rep", "left").withColumn("alone", F.coalesce("alone", F.lit(0).cast("long")))
+    draws = cut(draws.join(member.select("rep").distinct(), "rep", "left_semi"))
+    tile = F.pmod(F.xxhash64("rep"), "blocks")
+    large = member.filter("blocks > 1")
+    pivots = large.groupBy("band", F.pmod(F.xxhash64("rep", F.lit(1)), F.lit(PIVOTS)).alias("p")).agg(F.min("rep").alias("rep"), F.max("blocks").alias("blocks"))
+    everywhere = pivots.select("rep", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("tile"))
+    placed = member.select("rep", "band", tile.alias("tile")).union(everywhere).distinct()
+    met = cut(meetings(placed.withColumn("side", F.lit(2).cast("long")).withColumn("component", F.col("rep")), draws))
+    classes = components(cut(links_of(met, draws, docs, shingler, similar)))
+    # What blocks and pivots have left apart.
+    now = large.join(classes.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    parts = now.groupBy("band", "component").agg(F.count("*").alias("n"))
+    top = parts.groupBy("band").agg(F.count("*").alias("parts"), F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n")).filter("parts > 1")
+    top = top.select("band", F.col("top.component").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).alias("chunks"))
+    apart = cut(now.join(top, "band"))
+    if not apart.isEmpty():
+        chunk = F.pmod(F.xxhash64("rep", F.lit(2)), "chunks")
+        grid = lambda row, col: row * F.col("blocks") + col
+        all_ = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+        cols = ["band", "tile", "side", "rep", "component"]
+        ours = apart.filter("component <> top").withColumn("_c", all_).withColumn("tile", grid(chunk, F.col("_c"))).withColumn("side", F.lit(0).cast("long")).select(cols)
+        theirs = apart.withColumn("_r", every).withColumn("tile", grid(F.col("_r"), tile)).withColumn("side", F.lit(1).cast("long")).select(cols)
+        met = cut(meetings(ours.union(theirs), draws))
+        more = components(cut(links_of(met, draws, docs, shingler, similar)))
+        classes = classes.join(more.select(F.col("node").alias("component"), F.col("component").alias("_to")), "component", "left")
+        whole = classes.select("node", F.coalesce("_to", "component").alias("component"))
+        lone = more.join(classes.select("node"), "node", "left_anti")
+        classes = whole.union(lone.select("node", "component"))
+    # One key more than the grouping's, always equal: the join gets exchanges of its own, so that the planner can split a frequent text.
+    named = reps.join(classes.withColumnRenamed("node", "rep"), "rep", "left").select("same", F.octet_length("same").alias("_l"), F.coalesce("component", "rep").alias("class_id"))
+    rows = signed.select("doc_id", "same", F.coalesce(F.octet_length("same"), F.lit(0)).alias("_l"))
+    out = rows.join(named, ["same", "_l"], "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id")).distinct()
+    tidy(docs.sparkSession)
+    return out.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """docs with one document of each class; rows with a null key stay, equal rows with one key become one."""
+    """docs with one document of each class, that with the smallest key.  Rows with a null key stay, as do all rows with one key; null texts
+    stay, of empty ones one stays.  Other columns stay as they are.  An empty table stays empty."""
     gone = near_duplicates(docs, text, key).filter("not kept").select(F.col("doc_id").alias(key))
     return docs.join(gone, key, "left_anti")
 

@@ -221,16 +221,23 @@ def test_decontamination(spark):
 # MinHash
 
 
+def brute_shingles(texts):
+    """Weights of shingles as tuples of words, without the module's code."""
+    words = [(t or "").lower().split() for t in texts]
+    found, n = Counter(w for d in words for w in set(d)), sum(map(bool, words))
+    idf = {w: min(np.log((n + 1) / (k + 1)), np.log((n + 1) / (n / 10_000 + 1))) + 1 for w, k in found.items()}
+    return [{s: k * sum(idf[w] for w in s) / len(s) for s, k in Counter(tuple(d[i : i + 5]) for i in range(max(1, len(d) - 4)) if d).items()} for d in words]
+
+
+def brute_similarity(a, b):
+    return sum(min(x, b.get(s, 0)) for s, x in a.items()) / sum(max(a.get(s, 0), b.get(s, 0)) for s in {*a, *b}) if a and b else 0.0
+
+
 def brute_classes(texts):
-    slots, n = np.zeros(minhash.WORD_SLOTS), 0
-    for t in texts:
-        if w := set(minhash.words_of(t)):
-            slots[list({minhash.word_hash(x) % minhash.WORD_SLOTS for x in w})] += 1
-            n += 1
-    s = minhash.Shingler(np.log((n + 1) / (slots + 1)) + 1)(texts)
+    s = brute_shingles(texts)
     root = list(range(len(texts)))
     for a, b in itertools.combinations(range(len(texts)), 2):
-        if minhash.similarity(s[a], s[b]) >= minhash.SIMILAR and root[a] != root[b]:
+        if texts[a] is not None and texts[b] is not None and root[a] != root[b] and (s[a] == s[b] == {} or brute_similarity(s[a], s[b]) >= 0.8):
             low, high = sorted((root[a], root[b]))
             root = [low if x == high else x for x in root]
     return root
@@ -251,8 +258,8 @@ def test_near_duplicates_like_brute_force(spark):
     assert minhash.keep_one(docs(spark, *texts)).columns == ["doc_id", "text", "extra"]
 
 
-def test_near_duplicates_in_several_rounds_and_blocks(spark, monkeypatch):
-    for name, n in (("PIVOTS", 1), ("PROBES", 5), ("BLOCK", 4)):
+def test_near_duplicates_in_blocks_and_rounds(spark, monkeypatch):
+    for name, n in (("PIVOTS", 1), ("BLOCK", 4)):
         monkeypatch.setattr(minhash, name, n)
     r, texts = random.Random(9), []
     for k in range(2):
@@ -268,8 +275,55 @@ def test_near_duplicates_in_several_rounds_and_blocks(spark, monkeypatch):
     assert len(set(got)) > 4
 
 
-def test_near_duplicates_of_nothing(spark):
-    assert minhash.near_duplicates(empty(spark)).count() == 0
+def test_near_duplicates_of_odd_rows(spark):
+    assert minhash.near_duplicates(empty(spark)).count() == 0 and minhash.keep_one(empty(spark)).count() == 0
+    long = " ".join(f"w{k}" for k in range(30_000))
+    rows = [(3, "a b c", "x"), (3, "a b c", "x"), (None, "a b c", "x"), (1, "A  b c", "x"), (5, long, "x"), (6, long + " end", "x"), (7, None, "x"), (8, None, "x"), (9, "", "x"), (10, " \n", "x")]
+    df = spark.createDataFrame([(*x, 1) for x in rows], DOC + ", class_id long")
+    got = sorted((x["doc_id"], x["class_id"]) for x in minhash.near_duplicates(df).collect())
+    assert got == [(1, 1), (3, 1), (5, 5), (6, 5), (7, 7), (8, 8), (9, 9), (10, 9)]
+    kept = minhash.keep_one(df)
+    assert kept.columns == ["doc_id", "text", "extra", "class_id"]
+    assert sorted(x["doc_id"] or 0 for x in kept.collect()) == [0, 1, 5, 7, 8, 9]
+
+
+def test_samples_agree_as_often_as_weights_overlap():
+    """Of unlike texts, however long, hardly any samples are equal; of like ones as many as they are similar."""
+    tables, g = minhash.random_tables(48), np.random.default_rng(3)
+    for n in (100, 10_000, 100_000):
+        unlike = [(np.sort(g.integers(1, 1 << 63, n, np.uint64)), np.full(n, 2.0)) for _ in range(12)]
+        s = minhash.samples_of(unlike, tables)
+        assert np.mean([(s[a] == s[b]).mean() for a, b in itertools.combinations(range(12), 2)]) < 0.01
+    near, like = [], []
+    for _ in range(60):
+        k = np.sort(g.integers(1, 1 << 63, 300, np.uint64))
+        a, b = (k[:280], np.linspace(1, 3, 280)), (k[10:], np.linspace(1, 3, 290))
+        near.append(minhash.similarity(a, b))
+        x, y = minhash.samples_of([a, b], tables)
+        like.append((x == y).mean())
+    assert abs(np.mean(near) - np.mean(like)) < 0.03
+
+
+def test_near_duplicates_recall(spark):
+    """Queries: every id divisible by 100, against all rows; recall of the pairs found by brute force."""
+    r, texts = random.Random(12), []
+    for k in range(100):
+        words = prose(1000 + k, 150).split()
+        for _ in range(5):
+            copy = list(words)
+            for _ in range(r.randint(0, 3)):
+                copy[r.randrange(len(copy))] = "".join(r.choices("xyz", k=6))
+            texts.append(" ".join(copy))
+    order = list(range(len(texts)))
+    r.shuffle(order)
+    texts = [texts[k] for k in order]
+    s = brute_shingles(texts)
+    df = spark.createDataFrame([(10 * k, t, "x") for k, t in enumerate(texts)], DOC)
+    want = {(10 * q, 10 * k) for q in range(0, len(texts), 10) for k in range(len(texts)) if q != k and brute_similarity(s[q], s[k]) >= 0.8}
+    got = {x["doc_id"]: x["class_id"] for x in minhash.near_duplicates(df).collect()}
+    recall = sum(got[q] == got[k] for q, k in want) / len(want)
+    print("recall", recall, "of", len(want))
+    assert len(want) > 30 and recall >= 0.9
 
 
 # Toxicity
