@@ -1,83 +1,144 @@
-"""Repeated passages: every run of whole units (sentences or lines) with 20 words or more that stands at two places.
+"""Repeated passages: chunks of two lines or sentences that stand at two places, where they make a run of 20 words or more.
 
 Native: DataFrame and SQL functions only.  A document is cut into lines, and lines into sentences, so that a passage inside a
-longer line is found too.  From each unit on, and up to each unit, the shortest run of units with enough words is a
-window.  The windows inside a repeated run of enough words cover all of it, and its first and last unit too, whatever
-stands around it; so windows are counted over all documents, and a unit goes if it lies in one that is not at its
-first place.  Windows are compared by 96 bits of their SHA-256, without blanks and line ends around them.
+longer line is found too; these units are hashed.  The boundaries of chunks come from the content alone, and every unit is
+one: a chunk is a unit and the next one, or one unit of 20 words, named by the hashes of its units.  (Boundaries at chosen units only, by a
+rolling hash, leave the ends of a passage in chunks that reach into its surroundings, and most passages of 50 to 150 words untouched.)
+All chunks are counted; those that occur once are left out early, by a filter of fixed size.  Before anything goes, the bytes
+of all units that share a hash are compared; a unit whose hash stands for different texts stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import cut, read
 
-#: A passage has so many words at least.
+#: Repeated chunks go where they make a run of so many words at least.
 WORDS = 20
-#: A unit takes blank lines before it along, so it has one word at least and a window WORDS units at most.
-UNIT = r"(?s)\s*\S.*?(?:\n|(?<=[.!?]) |\z)"
-#: Hexadecimal digits of a window's digest that are compared.
-DIGITS = 24
-
-
-def _units(text: str) -> F.Column:
-    return F.regexp_extract_all(F.col(text), F.lit(UNIT), F.lit(0))
-
-
-def _windows(df: DataFrame) -> DataFrame:
-    """A row for each window of `_text`: `_key`, `at` (its first unit, from 0, times 32, plus the number of units after that) and `h`."""
-    # Trimming with a set of characters and counting by a pattern are slow, and most texts have single blanks only.
-    plain = "octet_length(x) - octet_length(replace(x, ' ', '')) + if(endswith(x, ' '), 0, 1)"
-    df = df.withColumn("_u", _units("_text")).withColumn("_odd", F.col("_text").rlike(r"\s\s|^\s|[^\S \n]"))
-    df = df.withColumn("_w", F.expr(rf"if(_odd, transform(_u, x -> regexp_count(x, '\\S+')), transform(_u, x -> {plain}))"))
-    df = df.withColumn("_e", F.expr(r"transform(_u, x -> if(endswith(x, '\n'), left(x, length(x) - 1), rtrim(x)))"))
-    # The last unit of the shortest window from unit i on, or null without enough words.
-    some, reach = "w", f"case when w >= {WORDS} then i"
-    for k in range(1, WORDS):
-        some += f" + _w[i + {k}]"
-        reach += f" when i + {k} >= size(_w) then null when {some} >= {WORDS} then i + {k}"
-    df = df.withColumn("_f", F.expr(f"transform(_w, (w, i) -> {reach} end)"))
-    # The shortest window up to unit e begins at the last unit whose own window ends at e or before.
-    ends = "if(f is null, array(), sequence(f, greatest(f, if(i + 1 < size(_f) and _f[i + 1] is not null, _f[i + 1], size(_f)) - 1)))"
-    df = df.withColumn("_y", F.expr(f"flatten(transform(_f, (f, i) -> transform({ends}, e -> struct(i as s, e - i as k))))"))
-    run = "concat(array_join(slice(_u, y.s + 1, y.k), ''), _e[y.s + y.k])"
-    digest = rf"unhex(substring(sha2(if(_odd, trim(' \n', {run}), {run}), 256), 1, {DIGITS}))"
-    df = df.withColumn("_x", F.expr(f"transform(_y, y -> struct(_mark * {1 << 36} + y.s * 32 + y.k as at, {digest} as h))"))
-    # An inner explode would let the optimizer test the array in a filter below, which computes it again.
-    return df.select("_key", F.explode_outer("_x").alias("x")).filter("x is not null").select("_key", "x.at", "x.h")
+#: A unit ends with a line end or a blank after a full stop and takes blank lines before it along, so it has one word at least.
+UNIT = r"(?s)\s*\S.*?(?:\n|(?<=[.!?]) |\z)(?:\s+\z)?"
+#: Texts without any of these, and without white space at the start, are cut the same way by plain replacement.
+ODD = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x01")
+#: Bits (a power of two) of the filters, which the driver gathers as 64-bit words.
+FILTER_BITS = 23
+
+
+def _odd(text: Column) -> Column:
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(s)) for s in ODD)) | text.startswith(" ") | text.startswith("\n")
+
+
+def _units(text: Column, odd: Column) -> Column:
+    marked = reduce(lambda t, s: F.replace(t, F.lit(s), F.lit(s + "\x01")), ("\n", ". ", "! ", "? "), text)
+    plain = F.split(F.rtrim(marked, F.lit("\x01")), "\x01")
+    return F.when(odd, F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))).otherwise(plain)
+
+
+def unit_hash(unit: Column) -> Column:
+    return F.xxhash64(unit)
+
+
+def _bare(unit: Column, odd: Column) -> Column:
+    """A unit without blanks and line ends around it."""
+    return F.when(odd, F.trim(unit, F.lit(" \n\t\r"))).otherwise(F.when(unit.endswith("\n"), F.left(unit, F.char_length(unit) - 1)).otherwise(F.rtrim(unit)))
+
+
+def _words(unit: Column, odd: Column) -> Column:
+    """Words of a bare unit; by its blanks where that gives the same."""
+    return F.when(odd, F.regexp_count(unit, F.lit(r"\S+"))).otherwise(F.octet_length(unit) - F.octet_length(F.replace(unit, F.lit(" "), F.lit(""))) + 1)
+
+
+def filter_of(df: DataFrame, value: str) -> bytes:
+    """2^FILTER_BITS bits; those at the values' lowest bits are set.  Grows with nothing: with many values it only lets more pass."""
+    slot = F.col(value).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
+    words = df.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, int({value} & 63))")).alias("b"))
+    out = bytearray(1 << (FILTER_BITS - 3))
+    for w, b in words.collect():
+        out[8 * w : 8 * w + 8] = (b & ((1 << 64) - 1)).to_bytes(8, "little")
+    return bytes(out)
+
+
+def may_hold(bits: bytes, value: Column) -> Column:
+    slot = value.bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).cast("int")
+    byte = F.conv(F.hex(F.substring(F.lit(bits), F.shiftright(slot, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    return F.call_function("shiftright", byte, slot.bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1)) == 1
+
+
+def _free(df: DataFrame, *names: str) -> list[str]:
+    """Column names that df doesn't have."""
+    out: list[str] = []
+    for n in names:
+        while n in (*df.columns, *out):
+            n = "_" + n
+        out.append(n)
+    return out
+
+
+def _chunks(units: DataFrame) -> DataFrame:
+    """_key, _mark, pos, a, b, w, w2 of each chunk: hashes and words of a unit and the next one; b is 0 (and w2 too) for a unit of enough words by itself."""
+    zipped = F.arrays_zip(F.col("_h").alias("a"), F.expr("slice(_h, 2, size(_h))").alias("b"), F.col("_w").alias("w"), F.expr("slice(_w, 2, size(_w))").alias("w2"))
+    rows = units.select("_key", "_mark", F.posexplode(zipped).alias("pos", "x")).select("_key", "_mark", "pos", "x.*")
+    more = F.when(F.col("w") >= WORDS, F.array(F.struct("b", "w2"), F.struct(F.lit(0).cast("long").alias("b"), F.lit(0).alias("w2")))).otherwise(F.array(F.struct("b", "w2")))
+    return rows.select("_key", "_mark", "pos", "a", "w", F.explode(more).alias("y")).select("_key", "_mark", "pos", "a", "w", "y.b", "y.w2").filter("b is not null")
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """docs without repeated passages, with `n_removed` (units) added; rows that lose nothing stay as they are.
 
-    Of a window's copies the first one in the document with the smallest key stays.  A null key or text, and an
+    Of a chunk's copies the first one in the document with the smallest key stays.  A null key or text, and an
     empty text, take no part and stay.  Rows with equal keys count as one document: whatever one
-    of them may keep, all may.  Columns named `_u`, `_t`, `_key`, `_mark`, `_m`, `_gone` or `n_removed` must not exist.
+    of them may keep, all may.  White space between units counts for nothing.  Very long texts count whole; an empty table
+    stays empty.  Other columns stay, whatever their names, but `n_removed` is replaced.
     """
+    docs = docs.drop("n_removed")
     mark = F.xxhash64(F.col(text)).bitwiseAND(F.lit((1 << 24) - 1))  # tells texts with equal keys apart
     part = docs.select(F.col(key).alias("_key"), mark.alias("_mark"), F.col(text).alias("_text")).filter("_key is not null and _text <> ''")
-    rows = _windows(part)
-    groups = rows.groupBy("h").agg(F.count("*").alias("n"), F.min("_key").alias("first"))
-    # One more key than the grouping's, always equal: the join gets exchanges of its own, so that the planner can split a frequent window.
-    again = groups.filter("n > 1").select("h", F.octet_length("h").alias("h2"), "first")
-    seen = rows.withColumn("h2", F.octet_length("h")).join(again, ["h", "h2"]).select("_key", F.expr("shiftright(at, 36)").alias("_m"), "at", "h", "first")
-    # One exchange by document serves both groupings.  Where the document may keep the window, its first place stays.
-    places = seen.repartition("_key").groupBy("_key", "_m", "h").agg(F.min("at").alias("at0"), F.first("first").alias("first"), F.collect_list("at").alias("at"))
-    unit = "int(shiftright({}, 5) & 2147483647)"
-    # What the first copy holds itself stays, where a copy overlaps it.
-    begin = f"if(first = _key, greatest({unit.format('x')}, {unit.format('at0')} + int(x & 31) + 1), {unit.format('x')})"
-    lost = F.expr(f"flatten(transform(filter(at, x -> x > at0 or first <> _key), x -> sequence({begin}, {unit.format('x')} + int(x & 31))))")
-    gone = places.groupBy("_key", "_m").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(lost)))).alias("_gone"))
-    out = docs.withColumn("_mark", mark).join(gone, (F.col(key) == F.col("_key")) & (F.col("_mark") == F.col("_m")), "left")
-    hit = out.withColumn("_t", F.when(F.size("_gone") > 0, F.col(text))).withColumn("_u", _units("_t"))
-    # What lies between the removed units, which are in order, and white space after the last unit.
-    gap = "slice(_u, int(if(j = 0, 1, _gone[j - 1] + 2)), int(if(j = size(_gone), size(_u), _gone[j]) - if(j = 0, 0, _gone[j - 1] + 1)))"
-    left = F.expr(f"concat(array_join(flatten(transform(sequence(0, size(_gone)), j -> {gap})), ''), substring(_t, length(array_join(_u, '')) + 1))")
-    new = F.when(F.size("_gone") > 0, left).otherwise(F.col(text))
-    return hit.select(*((new if c == text else F.col(c)).alias(c) for c in docs.columns), F.greatest(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"))
+    part = part.withColumn("_odd", _odd(F.col("_text")))
+    bare = part.withColumn("_u", _units(F.col("_text"), F.col("_odd"))).withColumn("_e", F.transform("_u", lambda x: _bare(x, F.col("_odd"))))
+    units = cut(bare.select("_key", "_mark", F.transform("_e", unit_hash).alias("_h"), F.transform("_e", lambda x: _words(x, F.col("_odd")).cast("int")).alias("_w")))
+    chunks = _chunks(units).withColumn("c", F.xxhash64("a", "b"))
+    twice = chunks.groupBy("c").agg(F.count("*").alias("n")).filter("n > 1")
+    likely = chunks.filter(may_hold(filter_of(twice, "c"), F.col("c"))).drop("c")
+    groups = likely.groupBy("a", "b").agg(F.count("*").alias("n"), F.min("_key").alias("first")).filter("n > 1")
+    # One more key than the grouping's, always equal: the join gets exchanges of its own, so that the planner can split a frequent chunk.
+    seen = likely.withColumn("z", F.bit_count("a")).join(groups.select("a", "b", F.bit_count("a").alias("z"), "first"), ["a", "b", "z"])
+    # One exchange by document serves all that follows.  Where the document may keep the chunk, its first place stays.
+    seen = seen.repartition("_key")
+    own = Window.partitionBy("_key", "_mark", "a", "b")
+    seen = seen.withColumn("at0", F.min("pos").over(own)).withColumn("lost", F.expr("first <> _key or pos > at0"))
+    # Where a copy overlaps the first one in the same document, what the first one holds stays.
+    ours = "struct(pos, w, lost and not (b <> 0 and first = _key and pos = at0 + 1) as lost)"
+    parts = F.explode(F.expr(f"if(b = 0, array({ours}), array({ours}, struct(pos + 1 as pos, w2 as w, lost)))")).alias("x")
+    held = seen.select("_key", "_mark", parts).groupBy("_key", "_mark", "x.pos").agg(F.max("x.w").alias("w"), F.max("x.lost").alias("lost"))
+    runs = held.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("_key", "_mark", "lost").orderBy("pos")))
+    runs = runs.withColumn("gone", F.col("lost") & (F.sum("w").over(Window.partitionBy("_key", "_mark", "lost", "run")) >= WORDS))
+    found = runs.groupBy("_key", "_mark").agg(F.array_sort(F.collect_list("pos")).alias("_held"), F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("pos")))).alias("_gone"))
+    found = cut(found)
+    # Bytes: the texts of all units in repeated chunks, by their hash.
+    some = may_hold(filter_of(found.select(F.xxhash64("_key", "_mark").alias("v")), "v"), F.xxhash64(F.col("_key"), F.col("_mark")))
+    texts = bare.filter(some).join(found, ["_key", "_mark"]).withColumn("_h", F.transform("_e", unit_hash))
+    texts = texts.select("_key", "_mark", F.explode(F.expr("transform(if(size(_h) = 0, array(), _held), i -> struct(_h[i] as h, _e[i] as e, array_contains(_gone, i) as gone))")).alias("x"))
+    unlike = texts.select("x.h", "x.e").distinct().groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
+    stay = texts.filter("x.gone").select("_key", "_mark", "x.h").join(unlike, "h", "left_semi").groupBy("_key", "_mark").agg(F.collect_set("h").alias("_stay"))
+    k, m, gone, stays, u = _free(docs, "key", "mark", "gone", "stay", "u")
+    lost = found.filter("size(_gone) > 0").drop("_held").join(stay, ["_key", "_mark"], "left").toDF(k, m, gone, stays)
+    # Only documents that may lose something are shuffled.
+    some = may_hold(filter_of(lost.select(F.xxhash64(k, m).alias("v")), "v"), F.xxhash64(F.col(key), mark))
+    out = docs.filter(some).join(lost, (F.col(key) == F.col(k)) & (mark == F.col(m)), "left")
+    odd = _odd(F.col(text))
+    out = out.withColumn(u, F.when(F.size(gone) > 0, _units(F.col(text), odd)))
+    hashed = F.transform(u, lambda x: unit_hash(_bare(x, odd)))
+    out = out.withColumn(gone, F.when(F.col(stays).isNotNull(), F.filter(gone, lambda i: ~F.array_contains(stays, F.get(hashed, i)))).otherwise(F.col(gone)))
+    # What lies between the removed units, which are in order.
+    gap = f"slice({u}, int(if(j = 0, 1, {gone}[j - 1] + 2)), int(if(j = size({gone}), size({u}), {gone}[j]) - if(j = 0, 0, {gone}[j - 1] + 1)))"
+    left = F.expr(f"array_join(flatten(transform(sequence(0, size({gone})), j -> {gap})), '')")
+    new = F.when(F.size(gone) > 0, left).otherwise(F.col(text))
+    out = out.select(*((new if c == text else F.col(c)).alias(c) for c in docs.columns), F.greatest(F.size(gone), F.lit(0)).cast("long").alias("n_removed"))
+    return out.union(docs.filter(~some).withColumn("n_removed", F.lit(0).cast("long")))
 
 
 def op6_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(read(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
+    return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -143,23 +143,42 @@ def test_line_dedup_finds_every_repeated_passage_of_whole_units(spark):
     texts += ["\t" + passages[0].replace(" ", "  ", 3) + "\n \n" + sentence(3), sentence(12) + "\n" + sentence(11) + " " + (s := sentence(10)) + " " + s + " " + s + " " + s + " \n\n"]
     rows = sorted(linededup.dedup_lines(docs(spark, *texts)).collect(), key=lambda x: x["doc_id"])
     units = [re.findall(linededup.UNIT.replace(r"\z", r"\Z"), t) for t in texts]
-    place, gone = {}, [set() for _ in texts]
+    place, lost, gone = {}, [set() for _ in texts], [set() for _ in texts]
     for d, u in enumerate(units):
+        bare = [x.strip() for x in u]
         for i in range(len(u)):
-            for j in range(i, len(u)):
-                run = "".join(u[i : j + 1]).strip(" \n")
-                if len(run.split()) >= 20:
-                    d0, i0 = place.setdefault(run, (d, i))
-                    if (d0, i0) != (d, i):
-                        gone[d] |= set(range(max(i, i0 + j - i + 1) if d0 == d else i, j + 1))
+            for chunk in [tuple(bare[i : i + 2])] * (i + 1 < len(u)) + [(bare[i],)] * (len(bare[i].split()) >= 20):
+                d0, i0 = place.setdefault(chunk, (d, i))
+                if (d0, i0) != (d, i):
+                    lost[d] |= set(range(max(i, i0 + len(chunk)) if d0 == d else i, i + len(chunk)))
+        for _, run in itertools.groupby(sorted(lost[d]), key=lambda k, n=itertools.count(): k - next(n)):
+            run = set(run)
+            if sum(len(bare[k].split()) for k in run) >= 20:
+                gone[d] |= run
     for d, u in enumerate(units):
         assert rows[d]["n_removed"] == len(gone[d])
-        assert rows[d]["text"] == "".join(x for k, x in enumerate(u) if k not in gone[d]) + texts[d][len("".join(u)) :]
+        assert rows[d]["text"] == "".join(x for k, x in enumerate(u) if k not in gone[d])
     assert all(p not in x["text"] for x in rows[len(passages) : 4 * len(passages)] for p in passages)
     twice = spark.createDataFrame([(1, passages[0] + " " + texts[0], "x"), (2, passages[1] + "\n" + texts[8], "x"), (2, sentence(40), "x")], DOC)
     assert sorted(x["n_removed"] for x in linededup.dedup_lines(twice).collect())[0] == 0
 
 
+def test_line_dedup_of_odd_rows(spark, monkeypatch):
+    p = prose(4, 60) + "."
+    df = spark.createDataFrame([(1, p, 5, 6, 7), (2, p, 8, 9, 10), (None, p, 1, 1, 1), (3, None, 1, 1, 1), (2, p, 8, 9, 10)], "doc_id long, text string, _gone long, _key long, n_removed long")
+    out = linededup.dedup_lines(df)
+    rows = sorted(out.collect(), key=lambda x: (x["doc_id"] or 0, x["_gone"]))
+    assert out.columns == ["doc_id", "text", "_gone", "_key", "n_removed"]
+    assert [(x["doc_id"], x["text"], x["_gone"], x["_key"]) for x in rows] == [(None, p, 1, 1), (1, p, 5, 6), (2, "", 8, 9), (2, "", 8, 9), (3, None, 1, 1)]
+
+
+def test_line_dedup_compares_bytes(spark, monkeypatch):
+    """With a hash that is the same for all units, units of different texts stay."""
+    monkeypatch.setattr(linededup, "unit_hash", lambda x: linededup.F.lit(1).cast("long"))
+    words = lambda c: " ".join([c] * 30) + "."
+    assert [x["n_removed"] for x in linededup.dedup_lines(docs(spark, words("a"), words("b"))).collect()] == [0, 0]
+
+
 def test_line_dedup_stage_like_a_search_for_50_words(spark):
     """The pipeline's stage: no 50 words in a row of whole sentences are left at two places."""
     import corpus_pipeline
