@@ -23,8 +23,8 @@ WORDS = 20
 UNIT = r"(?s)\s*\S.*?(?:\n|(?<=[.!?]) |\z)(?:\s+\z)?"
 #: Texts without any of these, and without white space at the start, are cut the same way by plain replacement.
 ODD = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x01")
-#: Bits (a power of two) of the filters, which the driver gathers as 64-bit words.
-FILTER_BITS = 23
+#: Bits (a power of two) of the filters; one is half a megabyte.
+FILTER_BITS = 22
 
 
 def _odd(text: Column) -> Column:
@@ -51,20 +51,17 @@ def _words(unit: Column, odd: Column) -> Column:
     return F.when(odd, F.regexp_count(unit, F.lit(r"\S+"))).otherwise(F.octet_length(unit) - F.octet_length(F.replace(unit, F.lit(" "), F.lit(""))) + 1)
 
 
-def filter_of(df: DataFrame, value: str) -> bytes:
-    """2^FILTER_BITS bits; those at the values' lowest bits are set.  Grows with nothing: with many values it only lets more pass."""
+def filter_of(df: DataFrame, value: str) -> Column:
+    """2^FILTER_BITS bits as a scalar array; those at the values' lowest bits are set.  Grows with nothing: with many values it only lets more pass."""
     slot = F.col(value).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = df.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, int({value} & 63))")).alias("b"))
-    out = bytearray(1 << (FILTER_BITS - 3))
-    for w, b in words.collect():
-        out[8 * w : 8 * w + 8] = (b & ((1 << 64) - 1)).to_bytes(8, "little")
-    return bytes(out)
+    words = df.groupBy(F.shiftright(slot, 6).alias("id")).agg(F.bit_or(F.expr(f"shiftleft(1L, int({value} & 63))")).alias("b"))
+    dense = df.sparkSession.range(1 << (FILTER_BITS - 6)).join(words, "id", "left").select("id", F.coalesce("b", F.lit(0).cast("long")).alias("b"))
+    return cut(dense.agg(F.expr("transform(array_sort(collect_list(struct(id, b))), x -> x.b)").alias("bits"))).scalar()
 
 
-def may_hold(bits: bytes, value: Column) -> Column:
+def may_hold(bits: Column, value: Column) -> Column:
     slot = value.bitwiseAND(F.lit((1 << FILTER_BITS) - 1)).cast("int")
-    byte = F.conv(F.hex(F.substring(F.lit(bits), F.shiftright(slot, 3) + 1, F.lit(1))), 16, 10).cast("int")
-    return F.call_function("shiftright", byte, slot.bitwiseAND(F.lit(7))).bitwiseAND(F.lit(1)) == 1
+    return F.call_function("shiftright", F.get(bits, F.shiftright(slot, 6)), slot.bitwiseAND(F.lit(63))).bitwiseAND(F.lit(1)) == 1
 
 
 def _free(df: DataFrame, *names: str) -> list[str]:
