@@ -93,9 +93,12 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     docs = docs.drop("n_removed")
     mark = F.xxhash64(F.col(text)).bitwiseAND(F.lit((1 << 24) - 1))  # tells texts with equal keys apart
     part = docs.select(F.col(key).alias("_key"), mark.alias("_mark"), F.col(text).alias("_text")).filter("_key is not null and _text <> ''")
-    part = part.withColumn("_odd", _odd(F.col("_text")))
-    bare = part.withColumn("_u", _units(F.col("_text"), F.col("_odd"))).withColumn("_e", F.transform("_u", lambda x: _bare(x, F.col("_odd"))))
-    units = cut(bare.select("_key", "_mark", F.transform("_e", unit_hash).alias("_h"), F.transform("_e", lambda x: _words(x, F.col("_odd")).cast("int")).alias("_w")))
+
+    def named(df: DataFrame) -> DataFrame:
+        df = df.withColumn("_odd", _odd(F.col("_text"))).withColumn("_u", _units(F.col("_text"), F.col("_odd")))
+        return df.withColumn("_e", F.transform("_u", lambda x: _bare(x, F.col("_odd"))))
+
+    units = cut(named(part).select("_key", "_mark", F.transform("_e", unit_hash).alias("_h"), F.transform("_e", lambda x: _words(x, F.col("_odd")).cast("int")).alias("_w")))
     chunks = _chunks(units).withColumn("c", F.xxhash64("a", "b"))
     twice = chunks.groupBy("c").agg(F.count("*").alias("n")).filter("n > 1")
     likely = chunks.filter(may_hold(filter_of(twice, "c"), F.col("c"))).drop("c")
@@ -110,18 +113,26 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Dat
     ours = "struct(pos, w, lost and not (b <> 0 and first = _key and pos = at0 + 1) as lost)"
     parts = F.explode(F.expr(f"if(b = 0, array({ours}), array({ours}, struct(pos + 1 as pos, w2 as w, lost)))")).alias("x")
     held = seen.select("_key", "_mark", parts).groupBy("_key", "_mark", "x.pos").agg(F.max("x.w").alias("w"), F.max("x.lost").alias("lost"))
-    runs = held.withColumn("run", F.col("pos") - F.row_number().over(Window.partitionBy("_key", "_mark", "lost").orderBy("pos")))
-    runs = runs.withColumn("gone", F.col("lost") & (F.sum("w").over(Window.partitionBy("_key", "_mark", "lost", "run")) >= WORDS))
-    found = runs.groupBy("_key", "_mark").agg(F.array_sort(F.collect_list("pos")).alias("_held"), F.array_sort(F.collect_list(F.when(F.col("gone"), F.col("pos")))).alias("_gone"))
-    found = cut(found)
-    # Bytes: the texts of all units in repeated chunks, by their hash.
+    # Runs of units in repeated chunks, and within them of units that aren't at their chunk's first place.
+    by_doc = Window.partitionBy("_key", "_mark")
+    runs = held.withColumn("run", F.col("pos") - F.row_number().over(by_doc.orderBy("pos")))
+    runs = runs.withColumn("in_run", F.sum("w").over(Window.partitionBy("_key", "_mark", "run"))).filter(F.col("in_run") >= WORDS)
+    runs = runs.withColumn("own", F.col("pos") - F.row_number().over(Window.partitionBy("_key", "_mark", "lost").orderBy("pos")))
+    runs = runs.withColumn("gone", F.col("lost") & (F.sum("w").over(Window.partitionBy("_key", "_mark", "lost", "own")) >= WORDS))
+    runs = runs.groupBy("_key", "_mark", "run").agg(F.struct(F.min("pos").alias("s"), F.count("*").cast("int").alias("n")).alias("r"), F.collect_list(F.when(F.col("gone"), F.col("pos"))).alias("g"))
+    found = cut(runs.groupBy("_key", "_mark").agg(F.collect_list("r").alias("_held"), F.array_sort(F.flatten(F.collect_list("g"))).alias("_gone")))
+    # Bytes: the texts of all units in these runs, by their hash.
     some = may_hold(filter_of(found.select(F.xxhash64("_key", "_mark").alias("v")), "v"), F.xxhash64(F.col("_key"), F.col("_mark")))
-    texts = bare.filter(some).join(found, ["_key", "_mark"]).withColumn("_h", F.transform("_e", unit_hash))
-    texts = texts.select("_key", "_mark", F.explode(F.expr("transform(if(size(_h) = 0, array(), _held), i -> struct(_h[i] as h, _e[i] as e, array_contains(_gone, i) as gone))")).alias("x"))
-    unlike = texts.select("x.h", "x.e").distinct().groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    stay = texts.filter("x.gone").select("_key", "_mark", "x.h").join(unlike, "h", "left_semi").groupBy("_key", "_mark").agg(F.collect_set("h").alias("_stay"))
+    texts = named(part.filter(some).join(found, ["_key", "_mark"])).withColumn("_z", F.arrays_zip(F.transform("_e", unit_hash).alias("h"), F.col("_e").alias("e")))
+    texts = texts.select("_key", "_mark", F.explode(F.flatten(F.transform("_held", lambda r: F.slice("_z", r["s"] + 1, r["n"])))).alias("x"))
+    unlike = cut(texts.select("x.h", "x.e").distinct().groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h"))
+    lost = found.filter("size(_gone) > 0").drop("_held")
+    if unlike.isEmpty():
+        lost = lost.withColumn("_stay", F.lit(None).cast("array<bigint>"))
+    else:
+        lost = lost.join(texts.select("_key", "_mark", "x.h").join(unlike, "h", "left_semi").groupBy("_key", "_mark").agg(F.collect_set("h").alias("_stay")), ["_key", "_mark"], "left")
     k, m, gone, stays, u = _free(docs, "key", "mark", "gone", "stay", "u")
-    lost = found.filter("size(_gone) > 0").drop("_held").join(stay, ["_key", "_mark"], "left").toDF(k, m, gone, stays)
+    lost = lost.toDF(k, m, gone, stays)
     # Only documents that may lose something are shuffled.
     some = may_hold(filter_of(lost.select(F.xxhash64(k, m).alias("v")), "v"), F.xxhash64(F.col(key), mark))
     out = docs.filter(some).join(lost, (F.col(key) == F.col(k)) & (mark == F.col(m)), "left")
