@@ -8,6 +8,7 @@ them, with those columns only, from the tables whose labels are possible there.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
@@ -22,6 +23,10 @@ from .traversal import FailStep, Step, Traversal
 ORDERED = {"range", "tail", "dedup", "fold", "order", "and_", "or_", "not_", "where", "choose", "coalesce", "optional"}
 
 
+#: Columns of an element that was read with its properties: `_own_labels` and `_own:<key>`.  The optimizer drops those that no step asks for.
+OWN = "_own"
+
+
 @dataclass(frozen=True)
 class State:
     """kind: none, vertex, edge, value, record (a struct of tags), path.  labels: possible labels of a vertex, or None."""
@@ -36,9 +41,11 @@ class State:
     keys: tuple[str, ...] = ()
     fields: tuple[tuple[str, str], ...] = ()
     last: str = ""
+    #: The rows that a sub-traversal began with, by their keys, so that an aggregate of nothing has a row too.
+    outer: DataFrame | None = None
 
     def carry(self) -> list[str]:
-        return [c for c in self.df.columns if c not in ("cur", "src", "dst")]
+        return [c for c in self.df.columns if c not in ("cur", "src", "dst") and not c.startswith(OWN)]
 
     def to(self, df: DataFrame, kind: str, labels=None, grow: bool = True, fields=()) -> State:
         s = replace(self, df=df, kind=kind, labels=labels, fields=tuple(fields))
@@ -85,6 +92,21 @@ def _same(cols: list[tuple[Column, object]]) -> list[Column]:
     return [c if isinstance(t, VariantType) else c.cast(VariantType()) for c, t in cols]
 
 
+def flat(labels: tuple) -> tuple:
+    return tuple(x for label in labels for x in (label if isinstance(label, (list, tuple)) else [label]))
+
+
+def part(kind: str, c: str = "cur") -> Column:
+    """The values of a kind (double, string or boolean) in a variant column, null for others."""
+    names = {"double": "'BIGINT', 'DOUBLE', 'FLOAT', 'INT', 'SMALLINT', 'TINYINT'", "string": "'STRING'", "boolean": "'BOOLEAN'"}[kind]
+    more = f" or schema_of_variant({c}) like 'DECIMAL%'" if kind == "double" else ""
+    return F.expr(f"case when schema_of_variant({c}) in ({names}){more} then try_variant_get({c}, '$', '{kind}') end")
+
+
+def kind_of(x) -> str:
+    return "boolean" if isinstance(x, bool) else "double" if isinstance(x, (int, float)) else "string"
+
+
 class Compiler:
     def __init__(self, graph, compat: bool):
         self.graph, self.compat = graph, compat
@@ -97,6 +119,13 @@ class Compiler:
                 after.append(steps[k + 1].args)
                 k += 1
             method = getattr(self, "_" + step.name)
+            if step.name == "V" and not step.args and s.df is None:  # labels asked for at once: only their tables are read
+                follow = steps[k + 1] if k + 1 < len(steps) else None
+                wanted = flat(follow.args) if follow and follow.name == "hasLabel" else (follow.args[0],) if follow and follow.name == "has" and len(follow.args) == 3 else None
+                if wanted and all(isinstance(x, str) for x in wanted):
+                    s = self._V(s, labels=frozenset(wanted))
+                    k += 1 + (follow.name == "hasLabel" and not after and not (k + 2 < len(steps) and steps[k + 2].name == "by"))
+                    continue
             if step.name == "order" and not s.keys and k + 1 < len(steps) and steps[k + 1].name == "range" and steps[k + 1].args[1] > 0:
                 s = method(s, by=after, top=steps[k + 1].args[1])
             elif step.name in ("path", "select", "order"):
@@ -128,6 +157,8 @@ class Compiler:
                 df = df.filter(F.col("id").isin(list(ids)))
             if labels is not None and t.label is None:
                 df = df.filter(F.arrays_overlap("labels", F.array(*map(F.lit, sorted(labels)))) if labels else F.lit(False))
+            if ids is not None and t.key:  # an id that the key can't be made from
+                df = df.filter(F.col("id").isin(own))
             parts.append(df.select("id", F.lit(k).cast("long").alias("tbl"), "seq", "labels", *(c for c in cols if c in t.props)))
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
@@ -138,7 +169,7 @@ class Compiler:
             if labels and t.label is not None and t.label not in labels or prop is not None and prop not in t.props:
                 continue
             label = F.lit(t.label) if t.label else F.explode("labels")
-            df = t.df.select("id", F.lit(k).cast("long").alias("tbl"), "seq", "src", "dst", label.alias("label"), *(c for c in cols if c in t.props))
+            df = t.df.select("id", F.lit(k).cast("long").alias("tbl"), "seq", "src", "dst", "labels", label.alias("label"), *(c for c in cols if c in t.props))
             parts.append(df.filter(F.col("label").isin(*labels)) if labels and t.label is None else df)
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
@@ -159,24 +190,38 @@ class Compiler:
             new = replace(s, df=None)
             more = self._start(replace(new, path=()), df, kind, labels)
             return self._concat([s, more], None)
-        cols = [F.col("id").alias("cur")] + (["src", "dst"] if kind == "edge" else [])
+        fixed = {"id", "tbl", "seq", "labels", "src", "dst", "label"}
+        own = [F.col("labels").alias(f"{OWN}_labels"), *(F.col(c).alias(f"{OWN}:{c}") for c in df.columns if c not in fixed)] if "labels" in df.columns else []
+        cols = [F.col("id").alias("cur"), *own] + (["src", "dst"] if kind == "edge" else [])
         if s.ord:
             cols.append(F.array("tbl", "seq").alias("ord"))
         return s.to(df.select(*cols), kind, labels)
 
-    def _V(self, s: State, *x) -> State:
+    def common(self, tables: list) -> list[str]:
+        """Properties that have one type in all these tables, so that these can be read as one."""
+        kinds: dict[str, set] = {}
+        for t in tables:
+            for k in t.props:
+                kinds.setdefault(k, set()).add(t.df.schema[k].dataType.simpleString())
+        return [k for k, v in kinds.items() if len(v) == 1]
+
+    def _V(self, s: State, *x, labels: frozenset | None = None) -> State:
         ids = None if not x else [getattr(x[0], "id", x[0])]
-        df = self.vertices(ids=ids)
+        cols = self.common([t for t in self.graph.vertex_tables if labels is None or t.label is None or t.label in labels])
+        df = self.vertices(labels, ids=ids, cols=cols)
         if df is None:
             return s if s.df is not None else self._start(s, self.vertices().filter(F.lit(False)), "vertex")
-        return self._start(s, df, "vertex")
+        return self._start(s, df, "vertex", labels)
 
     def _E(self, s: State, *x) -> State:
-        parts = []
+        if not self.graph.edge_tables:
+            df = self.graph.spark.createDataFrame([], "id string, tbl long, seq long, src string, dst string, labels array<string>")
+            return self._start(s, df, "edge")
+        cols, parts = self.common(self.graph.edge_tables), []
         for k, t in enumerate(self.graph.edge_tables):
-            df = t.df.select("id", F.lit(k).cast("long").alias("tbl"), "seq", "src", "dst")
+            df = t.df.select("id", F.lit(k).cast("long").alias("tbl"), "seq", "src", "dst", "labels", *(c for c in cols if c in t.props))
             parts.append(df.filter(F.col("id") == F.lit(getattr(x[0], "id", x[0]))) if x else df)
-        return self._start(s, reduce(lambda a, b: a.unionByName(b), parts), "edge")
+        return self._start(s, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts), "edge")
 
     def _inject(self, s: State, *values) -> State:
         spark = self.graph.spark
@@ -185,8 +230,6 @@ class Compiler:
         if mixed and kinds <= {int, float}:
             values, mixed = [None if v is None else float(v) for v in values], False
         if mixed:
-            import json
-
             df = spark.createDataFrame([(k, json.dumps(v)) for k, v in enumerate(values)], "k long, v string").select("k", F.parse_json("v").alias("cur"))
         elif not kinds:
             df = spark.createDataFrame([(k, None) for k in range(len(values))], "k long, cur double")
@@ -203,6 +246,8 @@ class Compiler:
         first = parts[0]
         kind = first.kind if len({p.kind for p in parts}) == 1 else "value"
         dfs = []
+        if kind not in ("vertex", "edge") or not all(f"{OWN}_labels" in p.df.columns for p in parts):
+            parts = [replace(p, df=p.df.drop(*(c for c in p.df.columns if c.startswith(OWN)))) for p in parts]
         types = [(F.col("cur"), p.df.schema["cur"].dataType) for p in parts]
         for k, (p, c) in enumerate(zip(parts, _same(types), strict=True)):
             df = p.df.withColumn("cur", c)
@@ -223,14 +268,15 @@ class Compiler:
     def _hop(self, s: State, labels: tuple[str, ...], dirs: tuple[int, ...], edge: bool) -> State:
         if s.kind != "vertex":
             return self._none(s)
-        e = self.edges(labels or None)
+        props = self.common([t for t in self.graph.edge_tables if not labels or t.label is None or t.label in labels]) if edge else []
+        e = self.edges(labels or None, props)
         if e is None:
             return self._none(s).to(self._none(s).df, "vertex", grow=True) if not edge else self._none(s)
         sides = []
         for d in dirs:
             near, far = ("src", "dst") if d == 0 else ("dst", "src")
             cols = [F.col(near).alias("_near"), F.col(far).alias("_far"), F.lit(d).cast("long").alias("_d"), F.col("label").alias("_l"), F.col("tbl").alias("_t"), F.col("seq").alias("_s")]
-            sides.append(e.select(*cols, *([F.col("id").alias("_e"), F.col("src").alias("_src"), F.col("dst").alias("_dst")] if edge else [])))
+            sides.append(e.select(*cols, *([F.col("id").alias("_e"), F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("labels").alias(f"{OWN}_labels"), *(F.col(c).alias(f"{OWN}:{c}") for c in props)] if edge else [])))
         e = reduce(lambda a, b: a.unionByName(b), sides)
         if labels and len(set(labels)) < len(labels):  # a label that is given again gives its edges again
             e = reduce(lambda a, b: a.unionByName(b), [e.filter(F.col("_l") == l).withColumn("_rank", F.lit(k).cast("long")) for k, l in enumerate(labels)])
@@ -245,11 +291,12 @@ class Compiler:
                 e = e.withColumn("_d0", F.min("_d").over(w)).withColumn("_s0", F.min(F.when(F.col("_d") == F.col("_d0"), F.struct("_t", "_s"))).over(Window.partitionBy("_near", "_l")))
                 rank = [F.col("_d0"), F.col("_s0._t"), F.col("_s0._s")]
             e = e.withColumn("_o", F.array(*rank, "_d", "_t", "_s"))
-        keep = ["_near", "_far"] + (["_o"] if s.ord else []) + (["_e", "_src", "_dst"] if edge else [])
+        own = [f"{OWN}_labels", *(f"{OWN}:{c}" for c in props)] if edge else []
+        keep = ["_near", "_far"] + (["_o"] if s.ord else []) + (["_e", "_src", "_dst", *own] if edge else [])
         df = s.df.select("cur", *carry).join(e.select(*keep), F.col("cur") == F.col("_near"))
         cols = [F.concat(c, "_o").alias(c) if c in ("ord", "rid") else F.col(c) for c in carry]
         if edge:
-            df = df.select(F.col("_e").alias("cur"), F.col("_src").alias("src"), F.col("_dst").alias("dst"), F.col("_near").alias("_prev"), *(c for c, n in zip(cols, carry, strict=True) if n != "_prev"))
+            df = df.select(F.col("_e").alias("cur"), F.col("_src").alias("src"), F.col("_dst").alias("dst"), F.col("_near").alias("_prev"), *own, *(c for c, n in zip(cols, carry, strict=True) if n != "_prev"))
             return s.to(df, "edge", frozenset(labels) or None)
         df = df.select(F.col("_far").alias("cur"), *(c for c, n in zip(cols, carry, strict=True) if n != "_prev"))
         far = [self.ends(labels, 1 - d) for d in dirs]
@@ -313,6 +360,13 @@ class Compiler:
     def with_props(self, s: State, keys: list[str], at: str = "cur", kind: str | None = None, labels="own", one: bool = False) -> DataFrame | None:
         """s.df with `_labels` and `_v_<key>` of the element in column `at`.  one: only rows that can have the key."""
         kind = kind or s.kind
+        if at == "cur" and f"{OWN}_labels" in s.df.columns:
+            known = {k for t in (self.graph.vertex_tables if kind == "vertex" else self.graph.edge_tables) if s.labels is None or t.label is None or t.label in s.labels for k in t.props}
+            have = [k for k in keys if f"{OWN}:{k}" in s.df.columns]
+            if all(k in have or k not in known for k in keys):
+                if one and not have:
+                    return None
+                return s.df.select("*", F.col(f"{OWN}_labels").alias("_labels"), *(F.col(f"{OWN}:{k}").alias(f"_v_{k}") for k in have))
         t = self.table(kind, s.labels if labels == "own" else labels, keys, keys[0] if one else None)
         if t is None:
             return None
@@ -358,13 +412,15 @@ class Compiler:
     def _hasLabel(self, s, *labels):
         if s.kind not in ("vertex", "edge"):
             return self._none(s)
-        labels = tuple(x for label in labels for x in (label if isinstance(label, (list, tuple)) else [label]))
+        labels = flat(labels)
+        known = frozenset(labels) if s.labels is None else s.labels & frozenset(labels) or frozenset(labels)
+        hit = lambda c: F.arrays_overlap(c, F.array(*map(F.lit, labels))) if labels else F.lit(False)
+        if f"{OWN}_labels" in s.df.columns:
+            return replace(s, df=s.df.filter(hit(f"{OWN}_labels")), labels=known)
         t = self.table(s.kind, frozenset(labels), [])
         if t is None:
             return self._none(s)
-        df = s.df.join(t.filter(F.arrays_overlap("_labels", F.array(*map(F.lit, labels)))).select("_id").distinct() if s.kind == "edge" else t.filter(F.arrays_overlap("_labels", F.array(*map(F.lit, labels)))).select("_id"), F.col("cur") == F.col("_id"), "left_semi")
-        known = frozenset(labels) if s.labels is None else s.labels & frozenset(labels) or frozenset(labels)
-        return replace(s, df=df, labels=known)
+        return replace(s, df=s.df.join(t.filter(hit("_labels")).select("_id"), F.col("cur") == F.col("_id"), "left_semi"), labels=known)
 
     def _hasValue(self, s, *values):
         if s.kind != "record":
@@ -375,24 +431,31 @@ class Compiler:
         return replace(s, df=df)
 
     def _is(self, s, x):
-        c = F.col("cur")
+        c, plain_ = F.col("cur"), isinstance(x, (str, int, float))
         if isinstance(s.df.schema["cur"].dataType, VariantType):
-            kind = "string" if isinstance(x, str) else "double"
-            c = F.expr(f"if(schema_of_variant(cur) in ('STRING') = {str(kind == 'string').lower()}, try_variant_get(cur, '$', '{kind}'), null)")
+            sample = next((a for a in x.args if a is not None), "") if isinstance(x, Predicate) else x
+            c = part(kind_of(sample))
         if isinstance(x, Predicate):
             return replace(s, df=s.df.filter(x.to_column(c)))
-        return replace(s, df=s.df.filter(F.coalesce(c == F.lit(x), F.lit(False)) if isinstance(x, (str, int, float)) and not isinstance(x, bool) else F.lit(False)))
+        return replace(s, df=s.df.filter(F.coalesce(c == F.lit(x), F.lit(False)) if plain_ and not isinstance(x, bool) else F.lit(False)))
+
+    def called(self, s: State, fn, returns: str) -> Column:
+        """fn of a Column, or else of Python values, in Arrow batches; without a type for its results these are variants."""
+        try:
+            c = fn(F.col("cur"))
+        except Exception as e:  # a Column can't be used as a value; an error of fn itself comes up again where it runs
+            c = e
+        if isinstance(c, Column):
+            return c
+        if returns != "variant":
+            return F.udf(lambda v: fn(plain(v)), returns, useArrow=not isinstance(s.df.schema["cur"].dataType, VariantType))("cur")
+        text = F.udf(lambda v: json.dumps(fn(plain(v))), "string", useArrow=not isinstance(s.df.schema["cur"].dataType, VariantType))("cur")
+        return F.parse_json(text)
 
     def _filter(self, s, fn):
         if isinstance(fn, Predicate):
             return replace(s, df=s.df.filter(fn.to_column(F.col("cur"))))
-        try:
-            c = fn(F.col("cur"))
-            if isinstance(c, Column):
-                return replace(s, df=s.df.filter(c))
-        except Exception:  # a function of Python values
-            pass
-        return replace(s, df=s.df.filter(F.udf(lambda v: bool(fn(plain(v))), "boolean")("cur")))
+        return replace(s, df=s.df.filter(self.called(s, lambda v: fn(v) if isinstance(v, Column) else bool(fn(v)), "boolean")))
 
     def _none(self, s):
         return replace(s, df=s.df.filter(F.lit(False)))
@@ -417,7 +480,8 @@ class Compiler:
     def sub(self, t, s: State) -> State:
         """t over s's rows; `_k<depth>` names the row that each result comes from."""
         name = f"_k{len(s.keys)}"
-        inner = replace(s, df=s.df.withColumn(name, F.col(self.row(s))), keys=(*s.keys, name))
+        outer = s.df.select(*s.keys, F.col(self.row(s)).alias(name))
+        inner = replace(s, df=s.df.withColumn(name, F.col(self.row(s))), keys=(*s.keys, name), outer=outer)
         if callable(t) and not isinstance(t, Traversal):
             t = t(Traversal())
         return self.steps(t.steps, inner)
@@ -477,10 +541,9 @@ class Compiler:
         return self.branch(s, parts)
 
     def _union(self, s, *subs):
-        if not s.ord:
-            return self._concat([self.steps((t(Traversal()) if not isinstance(t, Traversal) else t).steps, s) for t in subs], None)
-        parts = [self.apart(replace(self.sub(t, s), keys=s.keys)) for t in subs]
-        return replace(self._concat(parts, None), keys=s.keys)
+        """Each branch sees the whole stream; their results follow one another."""
+        out = self._concat([self.steps((t(Traversal()) if not isinstance(t, Traversal) else t).steps, s) for t in subs], None)
+        return replace(out, keys=s.keys, outer=s.outer)
 
     # Maps
 
@@ -532,15 +595,9 @@ class Compiler:
 
     _properties = _valueMap
 
-    def _map(self, s, fn):
-        try:
-            c = fn(F.col("cur"))
-        except Exception:  # a function of Python values
-            c = None
-        if not isinstance(c, Column):
-            t = s.df.schema["cur"].dataType
-            c = F.udf(lambda v: fn(plain(v)), t)("cur")
-        return self._set(s, s.df.withColumn("cur", c))
+    def _map(self, s, fn, returns: str = "variant"):
+        """fn of a Column, or of Python values; returns: the type of the latter's results."""
+        return self._set(s, s.df.withColumn("cur", self.called(s, fn, returns)))
 
     def _identity(self, s):
         return s
@@ -555,7 +612,8 @@ class Compiler:
                     fn(v)
                 yield b
 
-        return replace(s, df=s.df.mapInPandas(tap, s.df.schema))
+        df = s.df.drop(*(c for c in s.df.columns if c.startswith(OWN)))
+        return replace(s, df=df.mapInPandas(tap, df.schema))
 
     def _as(self, s, *keys):
         df, tags = s.df, dict(s.tags)
@@ -568,6 +626,8 @@ class Compiler:
 
     def prop_of(self, df: DataFrame, at: str, kind: str, labels, key: str, out: str) -> DataFrame:
         """df with column out: the property of the element in column at; rows without it go."""
+        if at == "cur" and f"{OWN}:{key}" in df.columns:
+            return df.withColumn(out, F.col(f"{OWN}:{key}")).filter(F.col(out).isNotNull())
         t = self.table(kind, labels, [key], key) if kind in ("vertex", "edge") else None
         if t is None:
             return df.withColumn(out, F.lit(None).cast("string")).filter(F.lit(False))
@@ -582,7 +642,8 @@ class Compiler:
             if not known:
                 return self._none(s)
             kind, labels = s.tags[keys[0]]
-            new = replace(s, df=s.df.withColumn("cur", F.col(f"tag_{keys[0]}")).filter("cur is not null"), kind=kind, labels=labels)
+            df = s.df.drop(*(c for c in s.df.columns if c.startswith(OWN)))
+            new = replace(s, df=df.withColumn("cur", F.col(f"tag_{keys[0]}")).filter("cur is not null"), kind=kind, labels=labels)
             for args in by:
                 new = self._by(new, *args)
             return new
@@ -629,17 +690,20 @@ class Compiler:
         order = [F.array(F.lit(0).cast("long")).alias("ord")] if s.ord else []
         if not s.keys:
             return fresh.to(s.df.agg(value.alias("cur")).select("cur", *order), "value")
-        df = s.df.groupBy(*s.keys).agg(value.alias("cur")).select("cur", *s.keys, *([F.col(s.keys[-1]).alias("ord")] if s.ord else []))
+        df = s.outer.join(s.df.groupBy(*s.keys).agg(value.alias("_c")), list(s.keys), "left")
+        kind = df.schema["_c"].dataType
+        empty = F.lit(None) if empty is None else empty
+        df = df.select(F.coalesce("_c", empty.cast(kind)).alias("cur"), *s.keys, *([F.col(s.keys[-1]).alias("ord")] if s.ord else []))
         return fresh.to(df, "value")
 
     def numbers(self, s: State) -> Column:
         t = s.df.schema["cur"].dataType
         if isinstance(t, VariantType):
-            return F.expr("if(schema_of_variant(cur) in ('STRING', 'BOOLEAN', 'VOID') or schema_of_variant(cur) like 'ARRAY%', null, try_variant_get(cur, '$', 'double'))")
+            return part("double")
         return F.col("cur") if isinstance(t, NumericType) else F.lit(None).cast("double")
 
     def _count(self, s):
-        return self._agg(s, F.count("*"))
+        return self._agg(s, F.count("*"), F.lit(0))
 
     def _sum(self, s):
         return self._agg(s, F.sum(self.numbers(s)))
@@ -647,19 +711,25 @@ class Compiler:
     def _mean(self, s):
         return self._agg(s, F.avg(self.numbers(s)))
 
+    def extreme(self, s: State, fn) -> Column:
+        """Of values of mixed types that of the numbers, or of the strings if there are no numbers."""
+        if not isinstance(s.df.schema["cur"].dataType, VariantType):
+            return fn("cur")
+        return F.coalesce(*(fn(part(k)).cast(VariantType()) for k in ("double", "string")))
+
     def _max(self, s):
-        return self._agg(s, F.max("cur"))
+        return self._agg(s, self.extreme(s, F.max))
 
     def _min(self, s):
-        return self._agg(s, F.min("cur"))
+        return self._agg(s, self.extreme(s, F.min))
 
     def _fold(self, s, *args):
         all_ = F.transform(F.array_sort(F.collect_list(F.struct("ord", "cur"))), lambda x: x["cur"])
         if not args:
-            return self._agg(s, all_)
+            return self._agg(s, all_, F.array())
         seed, fn = args
         kind = "double" if isinstance(s.df.schema["cur"].dataType, NumericType) and isinstance(seed, float) else s.df.schema["cur"].dataType
-        return self._agg(s, F.aggregate(all_, F.lit(seed).cast(kind), fn))
+        return self._agg(s, F.aggregate(all_, F.lit(seed).cast(kind), fn), F.lit(seed))
 
     # Order
 
@@ -680,6 +750,9 @@ class Compiler:
         if not by:
             t = df.schema["cur"].dataType
             keys = [F.collate("cur", "UNICODE") if isinstance(t, StringType) else F.col("cur")] if s.kind not in ("vertex", "edge") and not isinstance(t, (VariantType, StructType)) else []
+            if isinstance(t, VariantType):  # numbers, strings, the rest
+                number, text = part("double"), part("string")
+                keys = [F.when(number.isNotNull(), 0).when(text.isNotNull(), 1).otherwise(2), number, F.collate(text, "UNICODE")]
         if not keys:
             return s
         df = df.orderBy(*keys, "ord")
