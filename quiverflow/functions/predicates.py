@@ -18,7 +18,8 @@ class Predicate:
     missing: bool = False
 
     def to_column(self, c: Column) -> Column:
-        return F.coalesce(self.build(c), F.lit(self.missing))
+        """For filters: null where a missing value does not pass, as a scan can take that over."""
+        return F.coalesce(self.build(c), F.lit(True)) if self.missing else self.build(c)
 
     def __eq__(self, other) -> bool:
         return isinstance(other, Predicate) and (self.name, self.args) == (other.name, other.args)

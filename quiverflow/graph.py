@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType, VariantType
 
 from .plans.traversal import Traversal
 from .schema import EdgeTable, VertexTable
@@ -65,7 +66,9 @@ class PropertyGraph:
         return self.edges.filter(F.array_contains("labels", label))
 
     def getVertexById(self, i):
-        return next(iter(self.vertices.filter(F.col("id") == F.lit(i)).take(1)), None)
+        """Only the tables whose ids may be such are read."""
+        parts = [t.df.filter(F.col("id") == F.lit(i)).drop("_key") for t in self.vertex_tables if t.prefix is None or isinstance(i, str) and i.startswith(t.prefix)]
+        return next(iter(_union(parts).take(1)), None) if parts else None
 
     def getEdgeById(self, i):
         return next(iter(self.edges.filter(F.col("id") == F.lit(i)).take(1)), None)
@@ -201,29 +204,40 @@ class PropertyGraph:
     def removeLabelFromEdge(self, id: str, label: str) -> PropertyGraph:
         return self._label("edge", "removeLabel", id, label, F.array_except)
 
+    @staticmethod
+    def _put(d: DataFrame, id: str, key: str, value) -> DataFrame:
+        """key of one element becomes value; a column takes the wider type if value is a number of another one, and variants otherwise."""
+        new = F.lit(value)
+        if key not in d.columns:
+            return d.withColumn(key, F.when(F.col("id") == id, new))
+        old, kind, own = F.col(key), d.schema[key].dataType, d.select(new.alias("v")).schema["v"].dataType
+        if value is not None and kind != own and not isinstance(kind, VariantType):
+            if isinstance(kind, NumericType) and isinstance(own, NumericType):
+                old, new = old.cast("double") if isinstance(value, float) else old, new if isinstance(value, float) else new.cast(kind)
+            else:
+                old, new = old.cast(VariantType()), new.cast(VariantType())
+        elif isinstance(kind, VariantType):
+            new = new.cast(VariantType())
+        return d.withColumn(key, F.when(F.col("id") == id, new).otherwise(old))
+
     def setProperty(self, kind: str, id: str, key: str, value) -> PropertyGraph:
         """kind: vertex or edge."""
-        old = lambda d: F.col(key) if key in d.columns else F.lit(None)
-        fn = lambda d: d.withColumn(key, F.when(F.col("id") == id, F.lit(value)).otherwise(old(d)))
-        return self._change(kind, "setProperty", id, {"key": key, "value": value}, fn)
+        return self._change(kind, "setProperty", id, {"key": key, "value": value}, lambda d: self._put(d, id, key, value))
 
     def setProperties(self, kind: str, id: str, values: dict) -> PropertyGraph:
-        """The element's properties become these alone."""
-
-        def fn(d: DataFrame) -> DataFrame:
-            fixed = ("id", "seq", "labels", "src", "dst", "_key")
-            for key in dict.fromkeys([*(c for c in d.columns if c not in fixed), *values]):
-                old = F.col(key) if key in d.columns else F.lit(None)
-                d = d.withColumn(key, F.when(F.col("id") == id, F.lit(values.get(key))).otherwise(old))
-            return d
-
-        return self._change(kind, "setProperties", id, {"properties": values}, fn)
+        """values are added to the element's properties; others stay."""
+        return self._change(kind, "setProperties", id, {"properties": values}, lambda d: reduce(lambda x, k: self._put(x, id, k, values[k]), values, d))
 
     def removeProperty(self, kind: str, id: str, key: str) -> PropertyGraph:
-        return self._change(kind, "removeProperty", id, {"key": key}, lambda d: d.withColumn(key, F.when(F.col("id") != id, F.col(key))) if key in d.columns else d)
+        return self._change(kind, "removeProperty", id, {"key": key}, lambda d: self._without(d, id, [key]))
 
     def removeProperties(self, kind: str, id: str, keys: list[str]) -> PropertyGraph:
-        return reduce(lambda g, k: g.removeProperty(kind, id, k), keys, self)
+        """One event for all keys."""
+        return self._change(kind, "removeProperties", id, {"keys": list(keys)}, lambda d: self._without(d, id, keys))
+
+    @staticmethod
+    def _without(d: DataFrame, id: str, keys: list[str]) -> DataFrame:
+        return d.withColumns({k: F.when(F.col("id") != id, F.col(k)) for k in keys if k in d.columns})
 
     def truncate(self) -> PropertyGraph:
         return self._next("@graph/truncate", {}, lambda: (self._map(self.vertex_tables, lambda d: d.limit(0)), self._map(self.edge_tables, lambda d: d.limit(0))))

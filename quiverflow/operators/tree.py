@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Levels that a recursive query may have; a tree that is deeper raises.
+DEEPEST = 1_000_000
 SCHEMA = "id string, parent_id string, pos int, value string"
 
 
@@ -32,18 +34,22 @@ class Tree:
             raise ValueError(f"a tree has one root, not {count.get(None, 0)}")
         return cls(spark.createDataFrame(rows, SCHEMA))
 
-    def _recursive(self, start: str, step: str, select: str) -> DataFrame:
+    def _recursive(self, start: str, step: str, select: str, **args) -> DataFrame:
+        """A recursive query over {t}, this tree's table, as deep as the tree is; args: values for its :names."""
         spark, name = self.df.sparkSession, f"tree_{uuid.uuid4().hex}"
         self.df.createOrReplaceTempView(name)
-        return spark.sql(f"WITH RECURSIVE w AS ({start.format(t=name)} UNION ALL {step.format(t=name)}) {select}")
+        try:
+            return spark.sql(f"WITH RECURSIVE w MAX RECURSION LEVEL {DEEPEST} AS ({start} UNION ALL {step}) {select}".replace("{t}", name), args)
+        finally:
+            spark.catalog.dropTempView(name)
 
     def walk(self, id: str | None = None) -> DataFrame:
         """id, parent_id, value, depth, path of the subtree at id (or of all)."""
-        where = "parent_id IS NULL" if id is None else f"id = '{id}'"
         return self._recursive(
-            f"SELECT id, parent_id, value, 0 AS depth, CAST(array(pos) AS array<int>) AS path FROM {{t}} WHERE {where}",
+            f"SELECT id, parent_id, value, 0 AS depth, CAST(array(pos) AS array<int>) AS path FROM {{t}} WHERE {'parent_id IS NULL' if id is None else 'id = :id'}",
             "SELECT c.id, c.parent_id, c.value, w.depth + 1, concat(w.path, array(c.pos)) FROM {t} c JOIN w ON c.parent_id = w.id",
             "SELECT * FROM w",
+            **({} if id is None else {"id": id}),
         )
 
     def depthFirst(self, id: str | None = None) -> list:
@@ -63,9 +69,10 @@ class Tree:
     def ancestors(self, id: str) -> DataFrame:
         """id, value, distance; nearest first by distance."""
         return self._recursive(
-            f"SELECT id, parent_id, value, 0 AS distance FROM {{t}} WHERE id = '{id}'",
+            "SELECT id, parent_id, value, 0 AS distance FROM {t} WHERE id = :id",
             "SELECT p.id, p.parent_id, p.value, w.distance + 1 FROM {t} p JOIN w ON w.parent_id = p.id",
             "SELECT id, value, distance FROM w WHERE distance > 0",
+            id=id,
         )
 
     def root(self) -> str:

@@ -158,7 +158,7 @@ class Compiler:
             if labels is not None and t.label is None:
                 df = df.filter(F.arrays_overlap("labels", F.array(*map(F.lit, sorted(labels)))) if labels else F.lit(False))
             if ids is not None and t.key:  # an id that the key can't be made from
-                df = df.filter(F.col("id").isin(own))
+                df = df.filter(F.col("id").isin([i for i in ids if isinstance(i, str)]))
             parts.append(df.select("id", F.lit(k).cast("long").alias("tbl"), "seq", "labels", *(c for c in cols if c in t.props)))
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
@@ -394,7 +394,7 @@ class Compiler:
         p = x if isinstance(x, Predicate) else None
         strict = lambda v: F.lit(x) == v if x is not None else F.lit(False)
         present = len(args) == 2  # with a label there is no test for the key
-        test = lambda v: (v(key).isNotNull() if present else F.lit(True)) & (p.to_column(v(key)) if p else x(v(key)) if callable(x) else F.coalesce(strict(v(key)), F.lit(False)))
+        test = lambda v: (v(key).isNotNull() if present else F.lit(True)) & (p.to_column(v(key)) if p else x(v(key)) if callable(x) else strict(v(key)))
         return self._filter_props(s, [key], test, one=present or p is None or not p.missing)
 
     def _hasId(self, s, *ids):

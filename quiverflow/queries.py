@@ -56,17 +56,17 @@ traversals({
     "out_one_hop": (lambda g: g.V().hasLabel("Nation").out("IN_REGION").values("r_name"), "select r_name as value from nation join region on n_regionkey = r_regionkey"),
     "in_one_hop": (lambda g: g.V().hasLabel("Nation").in_("IN_NATION").values("c_name"), "select c_name as value from customer join nation on c_nationkey = n_nationkey"),
     "both_hop": (lambda g: g.V().hasLabel("Nation").both("IN_REGION", "BASED_IN").id(), "select 'region:' || n_regionkey as value from nation union all select 'supplier:' || s_suppkey from supplier join nation on s_nationkey = n_nationkey"),
-    "out_all_labels": (lambda g: g.V("order:5").out().id(), "select 'part:' || l_partkey as value from lineitem where l_orderkey = 5 union all select 'supplier:' || l_suppkey from lineitem where l_orderkey = 5"),
-    "out_e_props": (lambda g: g.V("customer:4").outE("PLACED").id(), "select 'placed:' || o_orderkey as value from orders where o_custkey = 4"),
+    "out_all_labels": (lambda g: g.V().hasLabel("Order").out().id(), "select 'part:' || l_partkey as value from lineitem union all select 'supplier:' || l_suppkey from lineitem"),
+    "out_e_props": (lambda g: g.V().hasLabel("Customer").outE("PLACED").id(), "select 'placed:' || o_orderkey as value from orders"),
     "in_e": (lambda g: g.V().hasLabel("Region").inE("IN_REGION").outV().values("n_name"), "select n_name as value from nation"),
-    "both_e": (lambda g: g.V("nation:3").bothE("IN_REGION", "IN_NATION").id(), "select 'in_region:' || n_nationkey as value from nation where n_nationkey = 3 union all select 'in_nation:' || c_custkey from customer where c_nationkey = 3"),
+    "both_e": (lambda g: g.V().hasLabel("Nation").bothE("IN_REGION", "IN_NATION").id(), "select 'in_region:' || n_nationkey as value from nation union all select 'in_nation:' || c_custkey from customer"),
     "in_v": (lambda g: g.V().hasLabel("Customer").outE("IN_NATION").inV().values("n_name"), "select n_name as value from customer join nation on c_nationkey = n_nationkey"),
     "out_v": (lambda g: g.E().hasLabel("BASED_IN").outV().values("s_name"), "select s_name as value from supplier"),
     "both_v": (lambda g: g.E().hasLabel("IN_REGION").bothV().id(), "select 'nation:' || n_nationkey as value from nation union all select 'region:' || n_regionkey from nation"),
-    "other_v": (lambda g: g.V("nation:3").bothE("IN_REGION", "BASED_IN").otherV().id(), "select 'region:' || n_regionkey as value from nation where n_nationkey = 3 union all select 'supplier:' || s_suppkey from supplier where s_nationkey = 3"),
+    "other_v": (lambda g: g.V().hasLabel("Nation").bothE("IN_REGION", "BASED_IN").otherV().id(), "select 'region:' || n_regionkey as value from nation union all select 'supplier:' || s_suppkey from supplier"),
     "two_hop_count": (lambda g: g.V().hasLabel("Nation").in_("IN_NATION").out("PLACED").count(), "select count(*) as value from nation join customer on c_nationkey = n_nationkey join orders on o_custkey = c_custkey"),
     "two_hop_sum": (lambda g: g.V().hasLabel("Nation").in_("IN_NATION").out("PLACED").values("o_totalprice").sum().map(lambda c: F.round(c, 2)), "select round(sum(o_totalprice), 2) as value from nation join customer on c_nationkey = n_nationkey join orders on o_custkey = c_custkey"),
-    "three_hop_dedup": (lambda g: g.V("nation:3").in_("IN_NATION").out("PLACED").out("CONTAINS").dedup().count(), "select count(distinct l_partkey) as value from customer join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey where c_nationkey = 3"),
+    "three_hop_dedup": (lambda g: g.V().hasLabel("Nation").in_("IN_NATION").out("PLACED").out("CONTAINS").dedup().count(), "select count(distinct l_partkey) as value from customer join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey"),
     "user_events": (lambda g: g.V().hasLabel("User").out("DID").has("event_type", "click").count(), "select count(*) as value from events where event_type = 'click'"),
     # Filters and predicates
     "has_key": (lambda g: g.V().has("s_acctbal").id(), "select 'supplier:' || s_suppkey as value from supplier"),
@@ -85,7 +85,7 @@ traversals({
     "has_key_any": (lambda g: g.V().hasKey("r_name", "n_name").id(), "select 'region:' || r_regionkey as value from region union all select 'nation:' || n_nationkey from nation"),
     "has_not": (lambda g: g.V().hasLabel("Region", "Nation").hasNot("n_name").id(), "select 'region:' || r_regionkey as value from region"),
     "has_label_filter": (lambda g: g.V().hasLabel("Order").out().hasLabel("Supplier").count(), "select count(*) as value from lineitem"),
-    "has_edge_prop": (lambda g: g.V("customer:4").out("PLACED").outE("CONTAINS").inV().has("p_size", P.gt(25)).id(), "select 'part:' || l_partkey as value from orders join lineitem on l_orderkey = o_orderkey join part on l_partkey = p_partkey where o_custkey = 4 and p_size > 25"),
+    "has_edge_prop": (lambda g: g.V().hasLabel("Order").outE("CONTAINS").has("l_quantity", P.gt(40.0)).inV().has("p_size", P.gt(25)).id(), "select 'part:' || l_partkey as value from orders join lineitem on l_orderkey = o_orderkey join part on l_partkey = p_partkey where p_size > 25 and l_quantity > 40"),
     "is_value": (lambda g: g.V().hasLabel("Part").values("p_size").is_(7), "select p_size as value from part where p_size = 7"),
     "is_predicate": (lambda g: g.V().hasLabel("Part").values("p_size").is_(P.gte(45)), "select p_size as value from part where p_size >= 45"),
     "filter_fn": (lambda g: g.V().hasLabel("Part").values("p_name").filter(lambda c: F.length(c) % 2 == 0), "select p_name as value from part where length(p_name) % 2 = 0"),
@@ -99,10 +99,10 @@ traversals({
     "choose": (lambda g: g.V().hasLabel("Customer").choose(__.has("c_acctbal", P.lt(0.0)), __.out("IN_NATION"), __.out("PLACED")).id(), "select 'nation:' || c_nationkey as value from customer where c_acctbal < 0 union all select 'order:' || o_orderkey from customer join orders on o_custkey = c_custkey where not c_acctbal < 0"),
     "coalesce": (lambda g: g.V().hasLabel("Customer").coalesce(__.out("PLACED"), __.out("IN_NATION")).id(), "select 'order:' || o_orderkey as value from orders join customer on o_custkey = c_custkey union all select 'nation:' || c_nationkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)"),
     "optional": (lambda g: g.V().hasLabel("Nation").optional(__.in_("BASED_IN")).id(), "select coalesce('supplier:' || s_suppkey, 'nation:' || n_nationkey) as value from nation left join supplier on s_nationkey = n_nationkey"),
-    "union": (lambda g: g.V("nation:5").union(__.out("IN_REGION"), __.in_("BASED_IN")).id(), "select 'region:' || n_regionkey as value from nation where n_nationkey = 5 union all select 'supplier:' || s_suppkey from supplier where s_nationkey = 5"),
+    "union": (lambda g: g.V().hasLabel("Nation").union(__.out("IN_REGION"), __.in_("BASED_IN")).id(), "select 'region:' || n_regionkey as value from nation union all select 'supplier:' || s_suppkey from supplier"),
     # Projections
     "ids": (lambda g: g.V().hasLabel("Region").id(), "select 'region:' || r_regionkey as value from region"),
-    "labels": (lambda g: g.V("nation:3").both().label(), "select 'Region' as value union all select 'Customer' from customer where c_nationkey = 3 union all select 'Supplier' from supplier where s_nationkey = 3"),
+    "labels": (lambda g: g.V().hasLabel("Nation").both().label(), "select 'Region' as value from nation union all select 'Customer' from customer union all select 'Supplier' from supplier"),
     "values_multi": (lambda g: g.V().hasLabel("Part").values("p_name", "p_size").map(lambda c: c.cast("string")), "select p_name as value from part union all select cast(p_size as varchar) from part"),
     "map_fn": (lambda g: g.V().hasLabel("Part").values("p_size").map(lambda c: c * 2 + 1), "select p_size * 2 + 1 as value from part"),
     "identity": (lambda g: g.V().hasLabel("Region").identity().values("r_name"), "select r_name as value from region"),
@@ -135,6 +135,58 @@ traversals({
         lambda g: g.stats().filter("kind = 'vertex' and label <> 'User'").select("label", "n"),
         "select 'Region' as label, count(*) as n from region union all select 'Nation', count(*) from nation union all select 'Customer', count(*) from customer union all select 'Supplier', count(*) from supplier union all select 'Part', count(*) from part union all select 'Order', count(*) from orders union all select 'Event', count(*) from events",
     ),
+    # Edges that are parallel, by their own properties
+    "edge_values_sum": (lambda g: g.V().hasLabel("Order").outE("CONTAINS").values("l_quantity").sum().map(lambda c: F.round(c, 2)), "select round(sum(l_quantity), 2) as value from lineitem"),
+    "edge_has_prop": (lambda g: g.E().hasLabel("CONTAINS").has("l_quantity", P.gt(40.0)).count(), "select count(*) as value from lineitem where l_quantity > 40"),
+    "edge_has_prop_ends": (lambda g: g.V().hasLabel("Order").outE("SHIPPED_BY").has("l_shipdate").inV().id(), "select 'supplier:' || l_suppkey as value from lineitem where l_shipdate is not null"),
+    "edge_value_map": (lambda g: _fields(g.E().hasLabel("CONTAINS").valueMap("l_quantity", "l_discount"), q="l_quantity", d="l_discount"), "select l_quantity as q, l_discount as d from lineitem"),
+    "edge_labels": (lambda g: g.V().hasLabel("Supplier").bothE().label(), "select 'BASED_IN' as value from supplier union all select 'SHIPPED_BY' from lineitem"),
+    "edge_count": (lambda g: g.E().count(), "select (select count(*) from nation) + (select count(*) from customer) + (select count(*) from supplier) + (select count(*) from orders) + 2 * (select count(*) from lineitem) + (select count(*) from events) as value"),
+    "e_by_id": (lambda g: g.E("in_region:3").inV().values("r_name"), "select r_name as value from nation join region on n_regionkey = r_regionkey where n_nationkey = 3"),
+    # Aggregates of nothing, branches over whole streams
+    "where_count_zero": (lambda g: g.V().hasLabel("Customer").where(__.out("PLACED").count().is_(0)).id(), "select 'customer:' || c_custkey as value from customer where not exists (select 1 from orders where o_custkey = c_custkey)"),
+    "where_count_many": (lambda g: g.V().hasLabel("Customer").where(__.out("PLACED").count().is_(P.gt(10))).id(), "select 'customer:' || o_custkey as value from orders group by o_custkey having count(*) > 10"),
+    "union_counts": (lambda g: g.V().hasLabel("Nation").union(__.out("IN_REGION").count(), __.in_("BASED_IN").count()), "select count(*) as value from nation union all select count(*) from supplier"),
+    "optional_count": (lambda g: g.V().hasLabel("Nation").optional(__.in_("BASED_IN").count()), "select count(s_suppkey) as value from nation left join supplier on s_nationkey = n_nationkey group by n_nationkey"),
+    "choose_count": (lambda g: g.V().hasLabel("Customer").choose(__.out("PLACED").count().is_(0), __.id(), __.label()), "select case when exists (select 1 from orders where o_custkey = c_custkey) then 'Customer' else 'customer:' || c_custkey end as value from customer"),
+    # Values of mixed types
+    "is_mixed": (lambda g: g.V().hasLabel("Part").values("p_name", "p_size").is_(P.gt(25)).count(), "select count(*) as value from part where p_size > 25"),
+    "is_mixed_text": (lambda g: g.V().hasLabel("Part").values("p_brand", "p_size").is_("Brand#11").count(), "select count(*) as value from part where p_brand = 'Brand#11'"),
+    "max_mixed": (lambda g: g.V().hasLabel("Part").values("p_name", "p_size").max().map(lambda c: c.cast("double")), "select cast(max(p_size) as double) as value from part"),
+    "min_mixed": (lambda g: g.V().hasLabel("Part").values("p_name", "p_size").min().map(lambda c: c.cast("double")), "select cast(min(p_size) as double) as value from part"),
+    "order_mixed": (lambda g: g.V().hasLabel("Part").values("p_name", "p_size").order().limit(5).map(lambda c: c.cast("double")), "select cast(p_size as double) as value from part order by p_size limit 5"),
+    "map_python": (lambda g: g.V().hasLabel("Part").values("p_size").map(lambda v: f"{v}!", "string"), "select p_size || '!' as value from part"),
+    "map_python_float": (lambda g: g.V().hasLabel("Part").values("p_size").map(lambda v: float(v) / 2, "double"), "select p_size / 2.0::double as value from part"),
+    "filter_python": (lambda g: g.V().hasLabel("Part").values("p_name").filter(lambda v: len(v) > 12), "select p_name as value from part where length(p_name) > 12"),
+    # More predicates and projections
+    "has_p_eq": (lambda g: g.V().has("Part", "p_size", P.eq(15)).id(), "select 'part:' || p_partkey as value from part where p_size = 15"),
+    "has_gte": (lambda g: g.V().has("Part", "p_size", P.gte(45)).id(), "select 'part:' || p_partkey as value from part where p_size >= 45"),
+    "has_edge_label": (lambda g: g.E().hasLabel("PLACED", "IN_REGION").count(), "select (select count(*) from orders) + (select count(*) from nation) as value"),
+    "v_null": (lambda g: g.V(None).V().hasLabel("Region").id(), "select 'region:' || r_regionkey as value from region"),
+    "properties": (lambda g: _fields(g.V().hasLabel("Region").properties("r_name"), r_name="r_name"), "select r_name from region"),
+    "has_value": (lambda g: g.V().hasLabel("Region").properties("r_name").hasValue("ASIA").values("r_name"), "select r_name as value from region where r_name = 'ASIA'"),
+    "path_by_name": (lambda g: g.V().hasLabel("Region").out("X").path().by("r_name").map(lambda c: F.array_join(c, ">")), "select r_name as value from region where false"),
+    "path_by_key": (lambda g: g.V().hasLabel("Nation").path().by("n_name").map(lambda c: F.array_join(c, ">")), "select n_name as value from nation"),
+    "by_elsewhere": (lambda g: g.V().hasLabel("Nation").identity().by("n_name"), "select n_name as value from nation"),
+    "dedup_elements": (lambda g: g.V().hasLabel("Customer").out("IN_NATION").dedup().values("n_name"), "select n_name as value from nation where exists (select 1 from customer where c_nationkey = n_nationkey)"),
+    # Mutations
+    "set_properties": (lambda g: _fields(g.setProperties("vertex", "region:1", {"r_name": "X", "size": 3}).V().hasLabel("Region").valueMap("r_name", "size"), r_name="r_name", size="size"), "select case when r_regionkey = 1 then 'X' else r_name end as r_name, case when r_regionkey = 1 then 3 end as size from region"),
+    "set_property_wider": (lambda g: g.setProperty("vertex", "part:1", "p_size", 2.5).V().hasLabel("Part").values("p_size"), "select case when p_partkey = 1 then 2.5 else cast(p_size as double) end as value from part"),
+    "remove_property": (lambda g: g.removeProperty("vertex", "region:1", "r_name").V().hasLabel("Region").hasNot("r_name").id(), "select 'region:1' as value"),
+    "remove_properties": (lambda g: g.removeProperties("vertex", "customer:1", ["c_name", "c_acctbal"]).V().hasLabel("Customer").has("c_name").count(), "select count(*) - 1 as value from customer"),
+    "set_edge_property": (lambda g: g.setProperty("edge", "in_region:3", "since", 1990).E().has("since", 1990).outV().values("n_name"), "select n_name as value from nation where n_nationkey = 3"),
+    "add_vertex": (lambda g: g.addVertex(["Region"], {"r_name": "NEW"}, "r-new").V().hasLabel("Region").values("r_name"), "select r_name as value from region union all select 'NEW'"),
+    "add_edge": (lambda g: g.addEdge("nation:3", "region:4", ["TWINNED"], {}, "t1").V().hasLabel("Nation").out("TWINNED").values("r_name"), "select r_name as value from region where r_regionkey = 4"),
+    "remove_edge": (lambda g: g.removeEdge("in_region:3").V().hasLabel("Nation").out("IN_REGION").count(), "select count(*) - 1 as value from nation"),
+    "add_vertex_label": (lambda g: g.addLabelToVertex("region:1", "Big").V().hasLabel("Big").values("r_name"), "select r_name as value from region where r_regionkey = 1"),
+    "remove_vertex_label": (lambda g: g.removeLabelFromVertex("region:1", "Region").V().hasLabel("Region").id(), "select 'region:' || r_regionkey as value from region where r_regionkey <> 1"),
+    "add_edge_label": (lambda g: g.addLabelToEdge("in_region:3", "SPECIAL").V().hasLabel("Nation").out("SPECIAL").values("r_name"), "select r_name as value from nation join region on n_regionkey = r_regionkey where n_nationkey = 3"),
+    "remove_edge_label": (lambda g: g.removeLabelFromEdge("in_region:3", "IN_REGION").V().hasLabel("Nation").out("IN_REGION").count(), "select count(*) - 1 as value from nation"),
+    "truncate": (lambda g: g.truncate().V().count(), "select cast(0 as bigint) as value"),
+    "edges_from": (lambda g: g.edgesFromByLabel("nation:3", "IN_REGION").select("id", "dst"), "select 'in_region:3' as id, 'region:' || n_regionkey as dst from nation where n_nationkey = 3"),
+    "edges_to": (lambda g: g.edgesToByLabel("nation:3", "IN_NATION").select("id", "src"), "select 'in_nation:' || c_custkey as id, 'customer:' || c_custkey as src from customer where c_nationkey = 3"),
+    "vertices_by_label": (lambda g: g.getVerticesByLabel("Supplier").select("id", "s_name"), "select 'supplier:' || s_suppkey as id, s_name from supplier"),
+    "edges_by_label": (lambda g: g.getEdgesByLabel("IN_REGION").select("src", "dst"), "select 'nation:' || n_nationkey as src, 'region:' || n_regionkey as dst from nation"),
     "remove_vertex": (lambda g: g.removeVertex("nation:3").V().hasLabel("Region").in_("IN_REGION").id(), "select 'nation:' || n_nationkey as value from nation where n_nationkey <> 3"),
     "set_property": (lambda g: g.setProperty("vertex", "region:1", "r_name", "X").V().hasLabel("Region").values("r_name"), "select case when r_regionkey = 1 then 'X' else r_name end as value from region"),
 })
@@ -189,11 +241,83 @@ def tree_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tree(spark, sf_dir).ancestors("n7").select("id", "distance")
 
 
-@_named("select 'node' as kind, count(*) as n from region")
+def _seq(spark: SparkSession, sf_dir: str, value: str) -> Seq:
+    return Seq(_parts(spark, sf_dir).select(F.col("p_partkey").alias("pos"), F.col(value).alias("v")))
+
+
+def sequences(table: dict) -> None:
+    for name, (fn, value, sql) in table.items():
+        _named(sql)(lambda spark, sf_dir, fn=fn, value=value: fn(_seq(spark, sf_dir, value)).df)
+        QUERIES[name], ORACLE_SQL[name] = QUERIES.pop("<lambda>"), ORACLE_SQL.pop("<lambda>")
+
+
+_ALL = "select p_partkey as pos, {} as v from part"
+sequences({
+    "list_before": (lambda q: q.before(lambda v: v == 30), "p_size", _ALL.format("p_size") + " where p_partkey < (select min(p_partkey) from part where p_size = 30)"),
+    "list_skip_while": (lambda q: q.skipWhile(lambda v: v < 45), "p_size", _ALL.format("p_size") + " where p_partkey >= (select min(p_partkey) from part where not p_size < 45)"),
+    "list_filter": (lambda q: q.filter(lambda v: v > 40), "p_size", _ALL.format("p_size") + " where p_size > 40"),
+    "list_reject": (lambda q: q.reject(lambda v: v > 40), "p_size", _ALL.format("p_size") + " where not p_size > 40"),
+    "list_take": (lambda q: q.take(7), "p_name", _ALL.format("p_name") + " order by p_partkey limit 7"),
+    "list_skip": (lambda q: q.skip(50), "p_name", _ALL.format("p_name") + " order by p_partkey offset 50"),
+    "list_slice": (lambda q: q.slice(10, 20), "p_name", _ALL.format("p_name") + " order by p_partkey limit 10 offset 10"),
+    "list_tail": (lambda q: q.tail(), "p_name", _ALL.format("p_name") + " order by p_partkey offset 1"),
+    "list_pipe": (lambda q: q.pipe(lambda x: x.filter(lambda v: v > 10), lambda x: x.take(5)), "p_size", _ALL.format("p_size") + " where p_size > 10 order by p_partkey limit 5"),
+})
+
+
+@_named("select count(*) as n, bool_and(p_size > 0) as every, bool_or(p_size > 49) as some, arg_min(p_name, p_partkey) as head, arg_max(p_name, p_partkey) as last from part")
+def list_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes, names = _seq(spark, sf_dir, "p_size"), _seq(spark, sf_dir, "p_name")
+    return spark.createDataFrame([(sizes.count(), sizes.every(lambda v: v > 0), sizes.some(lambda v: v > 49), names.head(), names.last())], "n long, every boolean, some boolean, head string, last string")
+
+
+def _trie(spark: SparkSession, sf_dir: str) -> Trie:
+    return Trie(_parts(spark, sf_dir).select(F.col("p_partkey").alias("seq"), F.col("p_name").alias("key"), F.col("p_size").alias("value"))).unique()
+
+
+@_named("select p_name as key, arg_max(p_size, p_partkey) as value from part group by p_name")
+def trie_build(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _trie(spark, sf_dir).df.select("key", "value")
+
+
+@_named("select p_name as key from part group by p_name having p_name <> (select min(p_name) from part)")
+def trie_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = _trie(spark, sf_dir)
+    return t.remove(t.df.agg(F.min("key")).first()[0]).df.select("key")
+
+
+@_named("select count(distinct p_name) as words from part")
+def trie_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(_trie(spark, sf_dir).words,)], "words long")
+
+
+@_named("select 'n' || n_nationkey as id from nation where n_regionkey = 2")
+def tree_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree(spark, sf_dir).children("r2").select("id")
+
+
+@_named("select 'all' as id union all select 'r' || r_regionkey from region where r_regionkey <> 1 union all select 'n' || n_nationkey from nation")
+def tree_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree(spark, sf_dir).remove("r1").walk().select("id")
+
+
+@_named("select 'n' || n_nationkey as id from nation where n_regionkey in (1, 2) union all select 'r1' union all select 'r2'")
+def tree_move(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree(spark, sf_dir).move("r1", "r2").walk("r2").select("id")
+
+
+_NAMES = "select 'region:' || r_regionkey as id, r_name as name from region union all select 'nation:' || n_nationkey, n_name from nation union all select 'customer:' || c_custkey, c_name from customer union all select 'supplier:' || s_suppkey, s_name from supplier"
+
+
+@_named(f"""{_NAMES} union all select 'in_region:' || n_nationkey, 'nation:' || n_nationkey || '>region:' || n_regionkey from nation
+  union all select 'in_nation:' || c_custkey, 'customer:' || c_custkey || '>nation:' || c_nationkey from customer
+  union all select 'based_in:' || s_suppkey, 'supplier:' || s_suppkey || '>nation:' || s_nationkey from supplier""")
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four tables of vertices and three of edges, as JSON rows and read back: names of vertices, ends of edges."""
     from .graph import PropertyGraph
-    from .sources.pg_json import dumps, json_rows, loads
+    from .sources.pg_json import from_rows, json_rows
 
     g = table_graph(spark, sf_dir)
-    small = PropertyGraph(spark, g.vertex_tables[:1], [])
-    return json_rows(loads(spark, dumps(small))).groupBy("kind").agg(F.count("*").alias("n"))
+    back = from_rows(json_rows(PropertyGraph(spark, g.vertex_tables[:4], g.edge_tables[:3])))
+    names = back.vertices.select("id", F.get(F.coalesce("r_name", "n_name", "c_name", "s_name"), 0).alias("name"))
+    return names.union(back.edges.select("id", F.concat("src", F.lit(">"), "dst")))

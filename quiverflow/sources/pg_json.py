@@ -56,6 +56,14 @@ def load(spark: SparkSession, path: str) -> PropertyGraph:
     return graph_of(spark, part("nodes", [get("id"), labels, get("properties")]), part("edges", [get("id"), get("from"), get("to"), labels, get("properties")]))
 
 
+def from_rows(rows: DataFrame) -> PropertyGraph:
+    """The graph of json_rows: kind, seq, json."""
+    get = lambda k: F.get_json_object("json", f"$.{k}").alias(k)
+    labels = F.from_json(F.get_json_object("json", "$.labels"), "array<string>").alias("labels")
+    part = lambda kind, *cols: rows.filter(F.col("kind") == kind).select("seq", get("id"), *cols, labels, get("properties"))
+    return graph_of(rows.sparkSession, part("node"), part("edge", get("from"), get("to")))
+
+
 def json_rows(graph: PropertyGraph) -> DataFrame:
     """kind, seq, json: each element's text in the format."""
     out = None
@@ -68,6 +76,12 @@ def json_rows(graph: PropertyGraph) -> DataFrame:
     return out
 
 
+def to_json(graph: PropertyGraph, id: str) -> str | None:
+    """One element's text, or null."""
+    row = json_rows(graph).filter(F.get_json_object("json", "$.id") == F.lit(id)).select("json").first()
+    return None if row is None else row[0]
+
+
 def dumps(graph: PropertyGraph) -> str:
     """One text, for graphs that fit into the driver; json_rows(graph).write.text is for those that don't."""
     rows = json_rows(graph).orderBy("seq").collect()

@@ -8,7 +8,7 @@ from typing import Any
 
 #: Events of a graph's mutations; each is followed by @graph/mutate and @graph/version.
 MUTATIONS = tuple(
-    [f"@{k}/{w}" for k in ("vertex", "edge") for w in ("add", "remove", "addLabel", "removeLabel", "setProperty", "setProperties", "removeProperty")] + ["@graph/truncate", "@graph/mutate"]
+    [f"@{k}/{w}" for k in ("vertex", "edge") for w in ("add", "remove", "addLabel", "removeLabel", "setProperty", "setProperties", "removeProperty", "removeProperties")] + ["@graph/truncate", "@graph/mutate"]
 )
 
 

@@ -75,6 +75,21 @@ CASES = {
     "V after V": (lambda g: g.V("1").V("2").values("name"), ["marko", "vadas"]),
     "repeated label": (lambda g: g.V("6").out("CREATED", "CREATED").id(), ["3", "3"]),
     "where count": (lambda g: g.V().where(__.out().count().is_(P.gt(1))).values("name"), ["marko", "josh"]),
+    "where no out": (lambda g: g.V().where(__.out().count().is_(0)).values("name"), ["vadas", "lop", "ripple"]),
+    "optional count": (lambda g: g.V("2").optional(__.out().count()), [0]),
+    "choose count": (lambda g: g.V().choose(__.out().count().is_(0), __.id(), __.label()), ["PERSON", "2", "PERSON", "PERSON", "3", "5"]),
+    "union counts": (lambda g: g.V().union(__.out().count(), __.in_().count()), [6, 6]),
+    "is mixed": (lambda g: g.V().values("name", "age").is_(P.gt(30)), [32, 35]),
+    "is mixed text": (lambda g: g.V().values("name", "age").is_("lop"), ["lop"]),
+    "max mixed": (lambda g: g.V().values("name", "age").max(), [35]),
+    "min mixed": (lambda g: g.V().values("name", "age").min(), [27]),
+    "order mixed": (lambda g: g.V().values("name", "age").order().limit(6), [27, 29, 32, 35, "josh", "lop"]),
+    "map python": (lambda g: g.V().values("age").map(lambda v: f"{int(v)}!", "string").order(), ["27!", "29!", "32!", "35!"]),
+    "map python untyped": (lambda g: g.V().values("age").map(lambda v: float(v) / 2), [14.5, 13.5, 16, 17.5]),
+    "filter python": (lambda g: g.V().values("name").filter(lambda v: len(v) == 5), ["marko", "vadas", "peter"]),
+    "fold of nothing": (lambda g: g.V("2").optional(__.out().fold()), [[]]),
+    "E by id": (lambda g: g.E("9").inV().values("name"), ["lop"]),
+    "edge tag": (lambda g: g.V("4").outE().as_("e").inV().select("e").by("weight"), [1.0, 0.4]),
     "order then filter": (lambda g: g.V().order().by("name").and_(__.outE()).values("name"), ["josh", "marko", "peter"]),
 }
 
@@ -86,7 +101,7 @@ def test_golden(modern, name):
 
 
 def test_unordered_equals_ordered(modern):
-    for name in ("and", "union", "both", "values two", "choose"):
+    for name in ("and", "union", "both", "values two", "choose", "where no out", "optional count", "choose count", "union counts", "is mixed", "order mixed", "edge tag"):
         t = CASES[name][0](modern)
         assert sorted(map(str, (r[0] for r in t.to_df().collect()))) == sorted(map(str, (r[0] for r in t.to_df(ordered=True).collect())))
 
@@ -102,3 +117,74 @@ def test_terminals(modern):
         modern.V().repeat()
     with pytest.raises(TypeError):
         modern.V().fold(1)
+
+
+def plan_of(t) -> str:
+    df = t.to_df()
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    from quiverflow.sources.tables import table_graph
+
+    return table_graph(spark, "/root/testdata/sf0.001")
+
+
+def test_plans_read_what_they_need(tables):
+    plan = plan_of(tables.V().hasLabel("Order").has("o_totalprice", P.gt(1000.0)).values("o_orderpriority"))
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "GreaterThan(o_totalprice,1000.0)" in plan and "o_orderstatus" not in plan
+    assert plan_of(tables.V().hasLabel("Nation").values("n_name")).count("FileScan") == 1
+    assert plan_of(tables.V().has("Part", "p_size", 15).values("p_name")).count("FileScan") == 1
+
+
+def test_parallel_edges_keep_their_properties(spark, tables):
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    assert tables.V().hasLabel("Order").outE("CONTAINS").values("l_quantity").sum().toArray() == [lines.agg({"l_quantity": "sum"}).first()[0]]
+
+
+def test_no_edge_tables(spark, modern):
+    from quiverflow.graph import PropertyGraph
+
+    assert PropertyGraph(spark, modern.vertex_tables, []).E().toArray() == []
+
+
+def walk(steps, graph):
+    """A plain interpreter of a few steps, on lists: (kind, arguments) one after another."""
+    vertices, edges = graph
+    now = [v[0] for v in vertices]
+    by_id = {v[0]: v for v in vertices}
+    for name, *args in steps:
+        if name in ("out", "in_"):
+            near, far = (1, 2) if name == "out" else (2, 1)
+            now = [e[far] for v in now for e in edges if e[near] == v and e[3] == args[0]]
+        elif name == "hasLabel":
+            now = [v for v in now if by_id[v][1] == args[0]]
+        elif name == "has":
+            now = [v for v in now if by_id[v][2] is not None and by_id[v][2] > args[0]]
+        elif name == "where":
+            now = [v for v in now if any(e[1] == v and e[3] == args[0] for e in edges)]
+        elif name == "dedup":
+            now = list(dict.fromkeys(now))
+    return now
+
+
+def test_random_traversals_like_a_plain_interpreter(spark):
+    import random
+
+    from quiverflow.graph import PropertyGraph
+
+    r = random.Random(17)
+    vertices = [(f"v{k}", r.choice("AB"), r.choice([None, 1, 2, 3])) for k in range(14)]
+    edges = [(f"e{k}", f"v{r.randrange(14)}", f"v{r.randrange(14)}", r.choice("XY")) for k in range(30)]
+    vs = spark.createDataFrame([(i, k, [lab], n) for k, (i, lab, n) in enumerate(vertices)], "id string, seq long, labels array<string>, n long")
+    es = spark.createDataFrame([(i, k, s, d, [lab]) for k, (i, s, d, lab) in enumerate(edges)], "id string, seq long, src string, dst string, labels array<string>")
+    g = PropertyGraph.of(vs.coalesce(1), es.coalesce(1))
+    made = {"out": lambda: ("out", r.choice("XY")), "in_": lambda: ("in_", r.choice("XY")), "hasLabel": lambda: ("hasLabel", r.choice("AB")), "has": lambda: ("has", r.choice([0, 1, 2])), "where": lambda: ("where", r.choice("XY")), "dedup": lambda: ("dedup",)}
+    for _ in range(14):
+        steps, t = [made[r.choice(list(made))]() for _ in range(r.randint(1, 4))], g.V()
+        for name, *args in steps:
+            t = t.has("n", P.gt(args[0])) if name == "has" else t.where(__.out(args[0])) if name == "where" else getattr(t, name)(*args)
+        want = walk(steps, (vertices, edges))
+        assert sorted(x[0] for x in t.id().to_df().collect()) == sorted(want), steps
+        assert t.id().toArray() == want or "dedup" in str(steps), steps
