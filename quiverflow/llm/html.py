@@ -10,6 +10,7 @@ import functools
 import html
 import random
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,10 +23,10 @@ TOKEN = re.compile(
 )
 ATTR = re.compile(r"([^\s=\"'/>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Their contents are no text of the page.
-DROPPED = frozenset("head script style title noscript template iframe svg math object select textarea button".split())
+#: Their contents are no text of the page: scripts, styles, drawings, what stands in for them, and the controls of forms.
+DROPPED = frozenset("head script style title noscript template iframe svg select textarea button".split())
 RAW = frozenset("script style title textarea noscript iframe template".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark math mi mn mo mrow msub msup mtext object button select option svg q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
 #: Start tags that end an open paragraph.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul li dt dd".split())
 SAME = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -54,30 +55,36 @@ def dom(page: str) -> tuple[list[Node], list[tuple[int, int, str, bool]]]:
     """
     nodes, texts = [Node("#page", "", -1)], []
     open_: list[tuple[str, int]] = [("#page", 0)]
+    places: dict[str, list[int]] = {}  # of the open elements of each tag
+    last = page.rfind(">") + 1  # no tag ends behind it
     block, at, gone, links = 0, 0, 0, 0
     low: str | None = None
 
     def pop_to(k: int) -> None:
         nonlocal gone, links
-        for tag, _ in open_[k:]:
+        for tag, _ in reversed(open_[k:]):
+            places[tag].pop()
             gone -= tag in DROPPED
             links -= tag == "a"
         del open_[k:]
 
+    def nearest(tags) -> int:
+        """The place of the innermost open element of these, or 0."""
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def put(text: str) -> None:
         if text and not gone:
             texts.append((open_[-1][1], block, html.unescape(text), links > 0))
 
-    while m := TOKEN.search(page, at):
+    while m := TOKEN.search(page, at, last):
         put(page[at : m.start()])
-        at = m.end()
+        at = len(page) if m[0].startswith("<!--") and not m[0].endswith("-->") else m.end()
         tag = m[2] or m[5]
         if not tag:
             continue
         tag, closing, attrs = tag.lower(), (m[1] or m[4]) == "/", m[3] or m[6] or ""
         if closing:
-            k = next((k for k in range(len(open_) - 1, 0, -1) if open_[k][0] == tag), 0)
-            if k:
+            if k := nearest((tag,)):
                 pop_to(k)
             block += tag not in INLINE
             continue
@@ -90,14 +97,13 @@ def dom(page: str) -> tuple[list[Node], list[tuple[int, int, str, bool]]]:
             end = low.find(f"</{tag}", at)
             close = page.find(">", end) if end >= 0 else -1
             at = close + 1 if close >= 0 else len(page)
-            block += 1
             continue
         if tag in ENDS_P:
-            k = next((k for k in range(len(open_) - 1, 0, -1) if open_[k][0] in ("p", "td", "th", "table", "button")), 0)
+            k = nearest(("p", "td", "th", "table", "button"))
             if k and open_[k][0] == "p":
                 pop_to(k)
         if tag in SAME:
-            k = next((k for k in range(len(open_) - 1, 0, -1) if open_[k][0] in SAME[tag] or open_[k][0] in SCOPE[tag]), 0)
+            k = nearest(SAME[tag] | SCOPE[tag])
             if k and open_[k][0] in SAME[tag]:
                 pop_to(k if tag != "tr" or open_[k][0] == "tr" else k)
         block += tag not in INLINE
@@ -109,9 +115,11 @@ def dom(page: str) -> tuple[list[Node], list[tuple[int, int, str, bool]]]:
             nodes[here].own.append(len(nodes) - 1)
             here = len(nodes) - 1
         gone += tag in DROPPED
+        places.setdefault(tag, []).append(len(open_))
         open_.append((tag, here))
         links += tag == "a"
-    put(page[at:])
+    if at < len(page):
+        put(page[at:])
     return nodes, texts
 
 
@@ -167,21 +175,25 @@ def features(nodes: list[Node], texts: list[tuple[int, int, str, bool]]) -> np.n
     own, above = [hints(x.attrs) for x in nodes], [[0] * len(HINTS) for _ in nodes]
     marks = [0] * n  # 1 article or main, 2 nav, header, footer, aside, form above
     rows = np.zeros((n, len(TAGS) + 2 * len(HINTS) + 19), np.float32)
+    place, longest, alike = [0] * n, [nodes[0].length] * n, [Counter({nodes[0].tag: 1})] * n  # of a node's siblings, itself included
+    for x in nodes:
+        most, tags = max((nodes[j].length for j in x.own), default=0), Counter(nodes[j].tag for j in x.own)
+        for k, j in enumerate(x.own):
+            place[j], longest[j], alike[j] = k, most, tags
     for i, x in enumerate(nodes):
         p = nodes[x.parent] if i else x
         if i:
             depth[i] = depth[x.parent] + 1
             above[i] = [a | b for a, b in zip(above[x.parent], own[x.parent], strict=True)]
             marks[i] = marks[x.parent] | (p.tag in ("article", "main")) | 2 * (p.tag in ("nav", "header", "footer", "aside", "form", "dialog"))
-        kin = p.own if i else [0]
-        k = kin.index(i) if len(kin) < 64 else 0
+        kin, k = len(p.own) if i else 1, place[i]
         if x.tag in TAG_AT:
             rows[i, TAG_AT[x.tag]] = 1
         rows[i, len(TAGS) :] = [
             *own[i], *above[i],
             np.log1p(x.length), x.length / total, x.linked / max(1, x.length), x.words / (x.below + 1), x.stops / max(1, x.words), x.length / max(1, x.words),
-            x.below, x.paragraphs, depth[i], k, len(kin) - k - 1, x.length / max(1, max(nodes[j].length for j in kin[:64])), x.length / max(1, p.length),
-            sum(nodes[j].tag == x.tag for j in kin[:64]) / min(64, len(kin)), min(first[i], len(texts)) / max(1, len(texts)), marks[i] & 1, marks[i] >> 1, bool(x.attrs.strip()), len(x.own),
+            x.below, x.paragraphs, depth[i], k, kin - k - 1, x.length / max(1, longest[i]), x.length / max(1, p.length),
+            alike[i][x.tag] / kin, min(first[i], len(texts)) / max(1, len(texts)), marks[i] & 1, marks[i] >> 1, bool(x.attrs.strip()), len(x.own),
         ]
     return rows
 

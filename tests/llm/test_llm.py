@@ -76,6 +76,37 @@ def test_html(spark):
     assert html.extract_pages(df.limit(0)).count() == 0
 
 
+def test_html_of_long_and_odd_pages():
+    import time
+
+    body = "".join(f"<p>Paragraph number {k} of a long article, with some words in it.</p>" for k in range(300))
+    text = html.main_texts([f"<html><body><article><h1>Long</h1>{body}</article><footer>c</footer></body></html>"], html.page_model())[0]
+    assert text.count("Paragraph number") == 300 and text.count("\n\n") == 300
+    out = html.main_texts(["<article><p>Solve this please: <math>x</math> and <script>1</script>then we are done here.</p></article>"], html.page_model())[0]
+    assert out == "Solve this please: x and then we are done here."
+    began = time.time()
+    for odd in ("<a " * 80_000, "<table>" + "<div>" * 40_000, "<!-- " * 40_000, "</b>" * 60_000):
+        html.dom(odd)
+    assert time.time() - began < 30
+
+
+def brute_decode(nodes, score):
+    best = None
+    for bits in itertools.product([False, True], repeat=len(nodes) - 1):
+        keep = (True, *bits)
+        if all(not keep[i] or keep[nodes[i].parent] for i in range(1, len(nodes))):
+            best = max(best or (-np.inf,), (sum(score[i] for i in range(1, len(nodes)) if keep[i]), keep))
+    return list(best[1])
+
+
+def test_html_decoding_like_enumeration():
+    g = np.random.default_rng(4)
+    for _ in range(40):
+        nodes = [html.Node("#page", "", -1)] + [html.Node("div", "", int(g.integers(0, k))) for k in range(1, 9)]
+        score = g.standard_normal(9)
+        assert html.decode(nodes, score).tolist() == brute_decode(nodes, score)
+
+
 def test_html_model_on_held_out_pages():
     x, y = html.labelled(html.training_pages(60, seed=123))
     assert ((html.raw_score(html.page_model(), x) > 0) == (y > 0)).mean() > 0.98
