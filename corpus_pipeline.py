@@ -43,7 +43,7 @@ STAGES = [
     ("decontamination", drop_leaks),
     ("bpe", encode),
 ]
-#: SQL can't express the stages; the tests compare them with brute force.
+#: SQL can't express the stages; tests compare the operators, and the line dedup stage, with brute force.
 ORACLE_SQL = None
 
 
