@@ -1,163 +1,222 @@
 """Cross-entropy difference (Moore and Lewis 2010): documents scored by two n-gram models over one vocabulary.
 
-Target: documents labelled as good.  Background: all documents.  Both models are bigram models with absolute
-discounting, over the same words and the same bigrams; these are the words and bigrams whose share of all the corpus's is at least a given
-one, so there can't be more than its inverse, whatever the corpus's size; others are one unknown word, or are left to single words.
+Target: documents labelled as good.  Background: all documents.  Both models are bigram models with absolute discounting over the same
+words and bigrams, which are all that the documents hold, each counted exactly: the models grow with the input and are never in one place.
+
+Words are read once.  A task packs its documents into blocks of a bounded number of tokens, each with the sorted hashes of its words, and the
+documents' tokens as places among them; blocks are written to the shared folder.  A block asks once for each of its words and
+bigrams, with its own counts; sums by word or bigram answer it, and a bigram that no other block holds needs no answer.  So
+what is shuffled is blocks and their different bigrams, a very common one being a row of each block, not of each document.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import WordTable, cut, read, slices, word_hash
+from .common import WordTable, read, shared_folder, slices, word_hash
 
-#: Least share of all tokens: at most 100,000 words and 500,000 bigrams are broadcast.
-WORD_SHARE, PAIR_SHARE = 1e-5, 2e-6
 DISCOUNT = 0.75
-#: Entries that a task counts before it passes them on.
-FLUSH = 1 << 20
+#: Tokens and documents after which a block ends.  A document is in one block, however long.
+TOKENS, DOCUMENTS = 1 << 19, 1 << 13
+#: Rows of a block, in this order: its words, then counts or marks of good documents, then documents.
+WORDS, ANSWER, DOCUMENT = range(3)
+#: The second word of a row that asks for a word, not a bigram; word hashes aren't negative.
+NO_WORD = -1
+RESULTS = ["n_tokens", "ce_target", "ce_background", "ce_diff"]
 
 
 def words_of(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
-def counted(docs: DataFrame, count) -> DataFrame:
-    """k, background, target: summed over docs (text, good).  count: texts of a slice -> array of int64 keys."""
+def packed(docs: DataFrame, text: str, most: int) -> DataFrame:
+    """block, kind, n, tokens, kept: rows WORDS and DOCUMENT of blocks.  kept: the document's other columns."""
     import pyarrow as pa
 
+    docs = docs.select(F.col(text).cast("string").alias("text"), F.struct(*(F.col(c) for c in docs.columns if c != text)).alias("kept"))
+
     def run(batches):
-        held = {False: [], True: []}
+        import zstandard
+        from pyspark import TaskContext
+
+        table, pack = WordTable(word_hash), zstandard.ZstdCompressor()
+        block, held, kept, tokens = TaskContext.get().partitionId() << 32, [], [], 0
 
         def out():
-            for good, parts in held.items():
-                k, n = np.unique(np.concatenate([*parts, np.zeros(0, np.int64)]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n), pa.array(n * good)], ["k", "background", "target"])
-                parts.clear()
+            words, at = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_inverse=True)
+            ends = np.cumsum([len(h) for h in held])[:-1]
+            rows = [pack.compress(p.astype(np.int32).tobytes()) for p in np.split(at, ends)]
+            others = pa.concat_arrays(kept)
+            n = len(rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([block] * (n + 1), pa.int64()), pa.array([WORDS] + [DOCUMENT] * n, pa.int32()), pa.array(range(-1, n), pa.int32()), pa.array([words.tobytes(), *rows], pa.binary()), pa.concat_arrays([pa.nulls(1, others.type), others])],
+                ["block", "kind", "n", "tokens", "kept"],
+            )
 
-        keys = count()
         for b in slices(batches):
-            texts, good = b.column("text").to_pylist(), b.column("good").to_pylist()
-            for g in held:
-                held[g].append(keys([t for t, x in zip(texts, good, strict=True) if x is g]))
-            if sum(len(p) for parts in held.values() for p in parts) > FLUSH:
-                yield from out()
-        yield from out()
-
-    part = docs.mapInArrow(run, "k long, background long, target long")
-    return part.groupBy("k").agg(F.sum("background").alias("background"), F.sum("target").alias("target"))
-
-
-class Model:
-    """Both models.  Word 0 is the unknown one."""
-
-    def __init__(self, words: list[tuple[int, int, int]], totals: tuple[int, int]):
-        words = sorted(words)
-        self.words = {h: k + 1 for k, (h, _, _) in enumerate(words)}
-        n = np.array([[0, 0], *([b, t] for _, b, t in words)], float)
-        n[0] = np.maximum(0, np.array(totals) - n.sum(0))
-        self.count = n
-        self.single = (n + 1) / (n.sum(0) + len(n))
-        self.pairs, self.joint, self.left = np.zeros(0, np.int64), np.zeros((0, 2)), np.ones((len(n), 2))
-
-    def add_pairs(self, rows: list[tuple[int, int, int]]) -> None:
-        rows = sorted(rows)
-        self.pairs = np.array([k for k, _, _ in rows], np.int64)
-        c = np.array([[b, t] for _, b, t in rows], float).reshape(-1, 2)
-        first = self.pairs // len(self.count)
-        p = np.maximum(0, c - DISCOUNT) / np.maximum(1, self.count[first])
-        for m in range(2):  # what a word's bigrams leave to single words
-            self.left[:, m] = 1 - np.bincount(first, p[:, m], len(self.count))
-        self.joint = p
-
-    def table(self) -> WordTable:
-        words = self.words
-        return WordTable(lambda w: words.get(word_hash(w), 0))
-
-    def codes(self, texts: list[str | None], table: WordTable) -> np.ndarray:
-        """Bigrams of known words."""
-        flat: list[int] = []
-        for t in texts:
-            flat += [table[w] for w in words_of(t)]
-            flat.append(0)
-        ids = np.array(flat, np.int64)
-        a, b = ids[:-1], ids[1:]
-        return (a * len(self.count) + b)[(a > 0) & (b > 0)] if len(ids) else ids
-
-    def losses(self, texts: list[str | None], table: WordTable) -> list[tuple[int, float | None, float | None]]:
-        """Tokens, and mean loss for each token by target and background model."""
+            for k, t in enumerate(b.column("text").to_pylist()):
+                ids = np.fromiter((table[w] for w in words_of(t)), np.int64)
+                held.append(ids)
+                kept.append(b.column("kept").slice(k, 1))
+                tokens += len(ids)
+                if tokens >= most or len(held) >= DOCUMENTS:
+                    yield from out()
+                    block, held, kept, tokens = block + 1, [], [], 0
+        if held:
+            yield from out()
+
+    kept = docs.schema["kept"].dataType
+    return docs.mapInArrow(run, StructType([StructField("block", LongType()), *_fields("kind int, n int, tokens binary"), StructField("kept", kept)]))
+
+
+def _fields(ddl: str) -> list[StructField]:
+    return StructType.fromDDL(ddl).fields
+
+
+def by_block(rows: DataFrame) -> DataFrame:
+    return rows.repartition("block").sortWithinPartitions("block", "kind")
+
+
+class Block:
+    """A block's rows: its words' hashes, its answers, its documents' tokens one after the other."""
+
+    def __init__(self, rows):
+        import zstandard
+
+        kinds = rows.column("kind").to_numpy()
+        first, last = np.searchsorted(kinds, [ANSWER, DOCUMENT])
+        self.id = rows.column("block")[0].as_py()
+        self.words = np.frombuffer(rows.column("tokens")[0].as_py(), np.int64)
+        self.answers, self.docs = rows.slice(first, last - first), rows.slice(last)
+        unpack = zstandard.ZstdDecompressor()
+        parts = [np.frombuffer(unpack.decompress(t), np.int32) for t in self.docs.column("tokens").to_pylist()]
+        self.lengths = np.array([len(p) for p in parts], np.int64)
+        self.tokens = np.concatenate([*parts, np.zeros(0, np.int32)]).astype(np.int64)
+        self.doc = np.repeat(np.arange(len(parts)), self.lengths)
+        # Places of a bigram's second word, and the number of each bigram among the block's different ones.
+        self.second = np.flatnonzero(self.doc[1:] == self.doc[:-1]) + 1
+        codes = self.tokens[self.second - 1] * len(self.words) + self.tokens[self.second]
+        self.pairs, self.pair = np.unique(codes, return_inverse=True)
+
+    @staticmethod
+    def read(batches) -> Iterator[Block]:
+        import pyarrow as pa
+
+        held, now = [], None
+        for b in batches:
+            ids = b.column("block").to_numpy()
+            ends = [*(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+            start = 0
+            for end in ends:
+                if start == end:
+                    continue
+                if held and ids[start] != now:
+                    yield Block(pa.Table.from_batches(held))
+                    held = []
+                now = ids[start]
+                held.append(b.slice(start, end - start))
+                start = end
+        if held:
+            yield Block(pa.Table.from_batches(held))
+
+    def counts(self, good: np.ndarray) -> np.ndarray:
+        """Of the block's words, then of its bigrams: how often in all its documents, and in the good ones."""
         out = []
-        for t in texts:
-            ids = np.array([table[w] for w in words_of(t)], np.int64)
-            if not len(ids):
-                out.append((0, None, None))
-                continue
-            p = self.single[ids].copy()
-            code = ids[:-1] * len(self.count) + ids[1:]
-            joint = np.zeros((len(code), 2))
-            if len(self.pairs) and len(code):
-                at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-                ok = self.pairs[at] == code
-                joint[ok] = self.joint[at[ok]]
-            p[1:] = joint + self.left[ids[:-1]] * p[1:]
-            background, target = -np.log(p).mean(0)
-            out.append((len(ids), float(target), float(background)))
-        return out
-
-
-def train(docs: DataFrame, good: DataFrame) -> Model:
-    """docs (doc_id, text), good (doc_id): the target's documents.  Null and empty texts add nothing."""
-    sc = docs.sparkSession.sparkContext
-    mark = good.select("doc_id", F.lit(True).alias("good")).filter("doc_id is not null").distinct()
-    # Labels grow with the documents: one kind of join at every size, which never holds them in one place.
-    both = docs.select("doc_id", "text").join(mark.hint("merge"), "doc_id", "left").select("text", F.coalesce("good", F.lit(False)).alias("good"))
-
-    def by_word():
-        table = WordTable(word_hash)
-        return lambda texts: np.array([table[w] for t in texts for w in words_of(t)], np.int64)
-
-    singles = counted(both, by_word)
-    singles = cut(singles)
-    totals = singles.agg(F.sum("background"), F.sum("target")).first()
-    totals = (totals[0] or 0, totals[1] or 0)
-    model = Model([tuple(r) for r in singles.filter(F.col("background") >= max(2, WORD_SHARE * totals[0])).collect()], totals)
-    sent = sc.broadcast(model)
-
-    def by_pair():
-        table = sent.value.table()
-        return lambda texts: sent.value.codes(texts, table)
+        for of, doc, n in ((self.tokens, self.doc, len(self.words)), (self.pair, self.doc[self.second], len(self.pairs))):
+            out.append(np.stack([np.bincount(of, minlength=n), np.bincount(of[good[doc]], minlength=n)], 1))
+        return np.concatenate(out).astype(np.int64)
 
-    pairs = counted(both, by_pair).filter(F.col("background") >= max(2, PAIR_SHARE * totals[0]))
-    model.add_pairs([tuple(r) for r in pairs.collect()])
-    return model
 
+def _asked(blocks: DataFrame) -> DataFrame:
+    """a, b, block, n, own, target: each block's words (b is NO_WORD) and bigrams, with its own counts."""
+    import pyarrow as pa
 
-def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    def run(batches):
+        for block in Block.read(batches):
+            c = block.counts(np.isin(block.docs.column("n").to_numpy(), block.answers.column("n").to_numpy()))
+            v = len(block.words)
+            a = np.concatenate([block.words, block.words[block.pairs // max(1, v)]])
+            b = np.concatenate([np.full(v, NO_WORD), block.words[block.pairs % max(1, v)]])
+            for k in range(0, len(a), 1 << 16):
+                part = slice(k, k + (1 << 16))
+                n = len(a[part])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(a[part]), pa.array(b[part]), pa.array(np.full(n, block.id)), pa.array(np.arange(k, k + n, dtype=np.int32)), pa.array(c[part, 0]), pa.array(c[part, 1])],
+                    ["a", "b", "block", "n", "own", "target"],
+                )
+
+    return blocks.mapInArrow(run, "a long, b long, block long, n int, own long, target long")
+
+
+def score(docs: DataFrame, good: DataFrame, text: str = "text", key: str = "doc_id", tokens: int = TOKENS) -> DataFrame:
     """docs without text, with n_tokens, ce_target, ce_background and ce_diff (target minus background, in nats for a token).
 
-    Whole texts.  A null or empty text has no tokens and null losses.  Repeated rows give repeated results.
+    good (key): the target's documents; without any, the target's model is uniform.  tokens: of a block, at which it ends.
+    Whole texts, of any length.  A null or empty text has no tokens and null losses.  Repeated rows are documents of their own, all good if their key is; a null key is never good.
     """
     import pyarrow as pa
-    from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-    names = ["n_tokens", "ce_target", "ce_background", "ce_diff"]
-    docs = docs.drop(*names)
-    kept = [f for f in docs.schema.fields if f.name != text]
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    spark = docs.sparkSession
+    folder = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
 
-    def run(batches):
-        table = sent.value.table()
-        for b in slices(batches):
-            rows = sent.value.losses(b.column(text).to_pylist(), table)
-            diff = [None if t is None else t - g for _, t, g in rows]
-            cols = [pa.array([r[0] for r in rows], pa.int64()), *(pa.array(c, pa.float64()) for c in ([r[1] for r in rows], [r[2] for r in rows], diff))]
-            yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), *cols], [*(f.name for f in kept), *names])
+    def written(df: DataFrame, name: str) -> DataFrame:
+        df.write.parquet(f"{folder}/{name}")
+        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
 
-    return docs.mapInArrow(run, StructType([*kept, *(StructField(c, DoubleType() if k else LongType()) for k, c in enumerate(names))]))
+    blocks = written(packed(docs.drop(*RESULTS), text, tokens), "blocks")
+    # Labels grow with the documents: one kind of join at every size, which never holds them in one place.
+    mark = good.select(F.col(key).alias("key")).filter("key is not null").distinct().hint("merge")
+    ids = blocks.filter(F.col("kind") == DOCUMENT).select("block", "n", F.col("kept").getField(key).alias("key"))
+    marks = ids.join(mark, "key").select("block", F.lit(ANSWER).alias("kind"), "n")
+    asked = _asked(by_block(blocks.select("block", "kind", "n", "tokens").unionByName(marks, allowMissingColumns=True)))
+
+    same = Window.partitionBy("a", "b")
+    counts = asked.select(
+        "block", "n", "own", F.col("target").alias("own_target"), F.when(F.col("b") == NO_WORD, F.lit(True)).otherwise(False).alias("word"), "a",
+        F.sum("own").over(same).alias("background"), F.sum("target").over(same).alias("target"), (F.min("block").over(same) == F.col("block")).alias("first"),
+    )
+    # A bigram held by one block only needs no answer but for the good ones' counts, which the block can't tell without marks.
+    counts = written(counts.filter("word or first or background <> own or target > 0"), "counts")
+    totals = counts.filter("word and first").agg(F.sum("background"), F.sum("target"), F.count("*")).first()
+    total = np.array([totals[0] or 0, totals[1] or 0], float)
+    vocabulary = max(1, totals[2])
+    joint = counts.filter("first and not word").groupBy("a").agg(*(F.sum(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))).alias("joint_" + c) for c in ("background", "target")))
+    word = counts.filter("word").join(joint.hint("merge"), "a", "left")
+    answer = [F.lit(ANSWER).alias("kind"), "block", "n", "background", "target"]
+    words = word.select(*answer, *(F.coalesce("joint_" + c, F.lit(0.0)).alias("joint_" + c) for c in ("background", "target")))
+    pairs = counts.filter("not word and (background <> own or target > 0)").select(*answer)
+    stream = blocks.unionByName(words.unionByName(pairs, allowMissingColumns=True), allowMissingColumns=True)
+    fields = [f for f in docs.schema.fields if f.name not in (text, *RESULTS)]
+
+    def run(batches):
+        for block in Block.read(batches):
+            if not len(block.docs):
+                continue
+            v = len(block.words)
+            n = block.counts(np.zeros(len(block.lengths), bool)).astype(float)
+            at = block.answers.column("n").to_numpy()
+            n[at] = np.stack([block.answers.column(c).to_numpy() for c in ("background", "target")], 1)
+            left, known = np.zeros((v, 2)), at < v
+            for m, c in enumerate(("joint_background", "joint_target")):
+                left[at[known], m] = block.answers.column(c).to_numpy()[known]
+            left = 1 - left / np.maximum(1, n[:v])  # what a word's bigrams leave to single words
+            p = ((n[:v] + 1) / (total + vocabulary))[block.tokens]
+            first = block.tokens[block.second - 1]
+            p[block.second] = np.maximum(0, n[v:][block.pair] - DISCOUNT) / np.maximum(1, n[first]) + left[first] * p[block.second]
+            empty = block.lengths == 0
+            loss = np.stack([np.bincount(block.doc, -np.log(p[:, m]), len(empty)) for m in (1, 0)]) / np.maximum(1, block.lengths)
+            kept = pa.concat_arrays(block.docs.column("kept").chunks).flatten()
+            cols = [pa.array(block.lengths), *(pa.array(x, mask=empty) for x in (*loss, loss[0] - loss[1]))]
+            yield pa.RecordBatch.from_arrays([*kept, *cols], [*(f.name for f in fields), *RESULTS])
+
+    return by_block(stream).mapInArrow(run, StructType([*fields, *(StructField(c, DoubleType() if k else LongType()) for k, c in enumerate(RESULTS))]))
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, train(docs, read(spark, sf_dir, "labels").filter("quality = 1")))
+    return score(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels").filter("quality = 1"))

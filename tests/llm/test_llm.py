@@ -421,29 +421,46 @@ def test_quantisation_bound_holds():
 # Language models
 
 
-def test_lm_like_brute_force(spark):
-    texts = [prose(k % 7, 40) for k in range(40)] + ["ka ka ka", None, ""]
+def lm_losses(texts, good, k):
+    """The losses of text k, by target and by background, counted plainly."""
+    words = [(t or "").lower().split() for t in texts]
+    known, out = {w for d in words for w in d}, []
+    for ids in (good, range(len(texts))):
+        one = Counter(w for j in ids for w in words[j])
+        two = Counter(p for j in ids for p in itertools.pairwise(words[j]))
+        loss = 0.0
+        for j, x in enumerate(words[k]):
+            p = (one[x] + 1) / (sum(one.values()) + len(known))
+            if j:
+                v = words[k][j - 1]
+                joint = {q: (n - lm.DISCOUNT) / one[v] for q, n in two.items() if q[0] == v}
+                p = joint.get((v, x), 0) + (1 - sum(joint.values())) * p
+            loss -= np.log(p) / len(words[k])
+        out.append(loss)
+    return out
+
+
+@pytest.mark.parametrize("tokens", [1 << 19, 90])
+def test_lm_like_brute_force(spark, tokens):
+    texts = [prose(k % 7, 40) for k in range(40)] + ["ka ka ka", None, "", prose(99, 5000)]
     good = [k for k in range(40) if k % 7 < 3]
-    model = lm.train(docs(spark, *texts), spark.createDataFrame([(k,) for k in good], "doc_id long"))
-    rows = {x["doc_id"]: x for x in lm.score(docs(spark, *texts), model).collect()}
-    sides = []
-    for ids in (good, range(43)):
-        words = [(texts[k] or "").lower().split() for k in ids]
-        sides.append((Counter(w for d in words for w in d), Counter(p for d in words for p in zip(d, d[1:], strict=False))))
-    known = {w for w, n in sides[1][0].items() if n >= 2}
-    pairs = {p for p, n in sides[1][1].items() if n >= 2 and set(p) <= known}
-    for k in (0, 5, 40):
-        w = texts[k].lower().split()
-        for name, (one, two) in zip(("ce_target", "ce_background"), sides, strict=True):
-            total, loss = sum(one.values()), 0.0
-            unknown = total - sum(one[x] for x in known)
-            single = lambda x: ((one[x] if x in known else unknown) + 1) / (total + len(known) + 1)  # noqa: B023, E731
-            for j, x in enumerate(w):
-                p = single(x)
-                if j and w[j - 1] in known:
-                    v = w[j - 1]
-                    joint = {q: max(0, two[q] - lm.DISCOUNT) / max(1, one[v]) for q in pairs if q[0] == v}
-                    p = joint.get((v, x), 0) + (1 - sum(joint.values())) * p
-                loss -= np.log(p) / len(w)
-            assert rows[k][name] == pytest.approx(loss)
-    assert rows[41]["n_tokens"] == 0 and rows[42]["ce_diff"] is None
+    rows = {x["doc_id"]: x for x in lm.score(docs(spark, *texts), spark.createDataFrame([(k,) for k in good], "doc_id long"), tokens=tokens).collect()}
+    assert len(rows) == len(texts)
+    for k in (0, 5, 38, 40, 43):
+        target, background = lm_losses(texts, good, k)
+        assert rows[k]["ce_target"] == pytest.approx(target) and rows[k]["ce_background"] == pytest.approx(background)
+        assert rows[k]["ce_diff"] == pytest.approx(target - background) and rows[k]["extra"] == "x"
+    assert rows[43]["n_tokens"] == 5000 and rows[41]["n_tokens"] == 0 and rows[42]["ce_diff"] is None
+
+
+def test_lm_edges(spark):
+    none = spark.createDataFrame([], "doc_id long")
+    assert lm.score(empty(spark), none).collect() == []
+    schema = "doc_id long, text string, n_tokens string, block string, kept string"
+    rows = spark.createDataFrame([(None, "a b a", "z", "q", "w"), (3, "a b", "z", None, "w"), (3, "a b", "z", "q", None)], schema)
+    got = lm.score(rows, spark.createDataFrame([(None,), (3,)], "doc_id long")).collect()
+    assert sorted(str(x["block"]) for x in got) == ["None", "q", "q"] and {x["n_tokens"] for x in got} == {2, 3}
+    a, b = (x for x in got if x["doc_id"] == 3)
+    assert a["ce_diff"] == b["ce_diff"] == pytest.approx(lm_losses(["a b a", "a b", "a b"], [1, 2], 1)[0] - lm_losses(["a b a", "a b", "a b"], [1, 2], 1)[1])
+    alone = lm.score(rows, none).filter("doc_id is null").first()
+    assert alone["kept"] == "w" and alone["ce_target"] == pytest.approx(np.log(2))
