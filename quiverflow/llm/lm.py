@@ -1,12 +1,12 @@
 """Cross-entropy difference (Moore and Lewis 2010): documents scored by two n-gram models over one vocabulary.
 
-Target: documents labelled as good.  Background: all documents.  Both models are bigram models with absolute discounting over the same
-words and bigrams, which are all that the documents hold, each counted exactly: the models grow with the input and are never in one place.
+Target: documents labelled as good.  Background: all documents.  Both models are bigram models with a Dirichlet prior (MacKay and Peto 1995)
+over the same words and bigrams, which are all that the documents hold, each counted exactly: the models grow with the input and are never in
+one place.  A document is scored by what the others hold: its own counts are taken off first, from the target's only if it is good.
 
-Words are read once.  A task packs its documents into blocks of a bounded number of tokens, each with the sorted hashes of its words, and the
-documents' tokens as places among them; blocks are written to the shared folder.  A block asks once for each of its words and
-bigrams, with its own counts; sums by word or bigram answer it, and a bigram that no other block holds needs no answer.  So
-what is shuffled is blocks and their different bigrams, a very common one being a row of each block, not of each document.
+Documents are packed and dealt into blocks by their key.  A block asks for each of its different words and bigrams once, with its own counts,
+as sorted 64-bit hashes in one row for each bucket of hashes; a bucket adds up and answers each row with its counts in the same
+order.  So a very common bigram is one entry of a block, and the shuffle holds about six bytes for a word of text.
 """
 
 from __future__ import annotations
@@ -15,19 +15,18 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .common import WordTable, read, shared_folder, slices, word_hash
 
-DISCOUNT = 0.75
-#: Tokens and documents after which a block ends.  A document is in one block, however long.
-TOKENS, DOCUMENTS = 1 << 19, 1 << 13
-#: Rows of a block, in this order: its words, then counts or marks of good documents, then documents.
-WORDS, ANSWER, DOCUMENT = range(3)
-#: The second word of a row that asks for a word, not a bigram; word hashes aren't negative.
-NO_WORD = -1
+#: The prior's weight, in tokens after a word.
+PRIOR = 4.0
+#: About so many letters are a block, and so many blocks' entries a bucket.
+LETTERS, BLOCKS = 6 << 20, 4
+#: Rows of a block, in this order: answers, marks of good keys, documents.
+ANSWER, MARK, DOCUMENT = range(3)
 RESULTS = ["n_tokens", "ce_target", "ce_background", "ce_diff"]
 
 
@@ -35,182 +34,193 @@ def words_of(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
-def packed(docs: DataFrame, text: str, most: int) -> DataFrame:
-    """block, kind, n, tokens, kept: rows WORDS and DOCUMENT of blocks.  kept: the document's other columns."""
-    import pyarrow as pa
+def pack(x: np.ndarray) -> bytes:
+    """Whole numbers, by planes of bytes."""
+    import zstandard
 
-    docs = docs.select(F.col(text).cast("string").alias("text"), F.struct(*(F.col(c) for c in docs.columns if c != text)).alias("kept"))
+    return zstandard.ZstdCompressor().compress(x.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes())
 
-    def run(batches):
-        import zstandard
-        from pyspark import TaskContext
-
-        table, pack = WordTable(word_hash), zstandard.ZstdCompressor()
-        block, held, kept, tokens = TaskContext.get().partitionId() << 32, [], [], 0
-
-        def out():
-            words, at = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_inverse=True)
-            ends = np.cumsum([len(h) for h in held])[:-1]
-            rows = [pack.compress(p.astype(np.int32).tobytes()) for p in np.split(at, ends)]
-            others = pa.concat_arrays(kept)
-            n = len(rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([block] * (n + 1), pa.int64()), pa.array([WORDS] + [DOCUMENT] * n, pa.int32()), pa.array(range(-1, n), pa.int32()), pa.array([words.tobytes(), *rows], pa.binary()), pa.concat_arrays([pa.nulls(1, others.type), others])],
-                ["block", "kind", "n", "tokens", "kept"],
-            )
 
-        for b in slices(batches):
-            for k, t in enumerate(b.column("text").to_pylist()):
-                ids = np.fromiter((table[w] for w in words_of(t)), np.int64)
-                held.append(ids)
-                kept.append(b.column("kept").slice(k, 1))
-                tokens += len(ids)
-                if tokens >= most or len(held) >= DOCUMENTS:
-                    yield from out()
-                    block, held, kept, tokens = block + 1, [], [], 0
-        if held:
-            yield from out()
+def unpack(data: bytes) -> np.ndarray:
+    import zstandard
 
-    kept = docs.schema["kept"].dataType
-    return docs.mapInArrow(run, StructType([StructField("block", LongType()), *_fields("kind int, n int, tokens binary"), StructField("kept", kept)]))
+    return np.ascontiguousarray(np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
 
 
-def _fields(ddl: str) -> list[StructField]:
-    return StructType.fromDDL(ddl).fields
+def mixed(x: np.ndarray) -> np.ndarray:
+    """The finalizer of SplitMix64."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def by_block(rows: DataFrame) -> DataFrame:
-    return rows.repartition("block").sortWithinPartitions("block", "kind")
+def runs(batches, key: str) -> Iterator:
+    """Tables of the rows with one value of key, by which the batches are sorted."""
+    import pyarrow as pa
+
+    held, now = [], None
+    for b in batches:
+        ids = b.column(key).to_numpy()
+        start = 0
+        for end in [*(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]:
+            if start == end:
+                continue
+            if held and ids[start] != now:
+                yield pa.Table.from_batches(held)
+                held = []
+            now = ids[start]
+            held.append(b.slice(start, end - start))
+            start = end
+    if held:
+        yield pa.Table.from_batches(held)
 
 
 class Block:
-    """A block's rows: its words' hashes, its answers, its documents' tokens one after the other."""
+    """A block's documents: their tokens one after the other, as places among its words, and its keys, which are its words and then its bigrams."""
 
-    def __init__(self, rows):
+    def __init__(self, rows, table: WordTable):
         import zstandard
 
         kinds = rows.column("kind").to_numpy()
-        first, last = np.searchsorted(kinds, [ANSWER, DOCUMENT])
+        first, last = np.searchsorted(kinds, [MARK, DOCUMENT])
         self.id = rows.column("block")[0].as_py()
-        self.words = np.frombuffer(rows.column("tokens")[0].as_py(), np.int64)
-        self.answers, self.docs = rows.slice(first, last - first), rows.slice(last)
-        unpack = zstandard.ZstdDecompressor()
-        parts = [np.frombuffer(unpack.decompress(t), np.int32) for t in self.docs.column("tokens").to_pylist()]
+        self.answers, self.docs = rows.slice(0, first), rows.slice(last)
+        marked = set(rows.slice(first, last - first).column("key").to_pylist())
+        self.good = np.array([k is not None and k in marked for k in self.docs.column("key").to_pylist()], bool)
+        texts = zstandard.ZstdDecompressor()
+        parts = [np.fromiter((table[w] for w in texts.decompress(t).decode("utf-8", "surrogatepass").split("\n") if w), np.uint64) for t in self.docs.column("data").to_pylist()]
         self.lengths = np.array([len(p) for p in parts], np.int64)
-        self.tokens = np.concatenate([*parts, np.zeros(0, np.int32)]).astype(np.int64)
         self.doc = np.repeat(np.arange(len(parts)), self.lengths)
+        words, self.word = np.unique(np.concatenate([*parts, np.zeros(0, np.uint64)]), return_inverse=True)
         # Places of a bigram's second word, and the number of each bigram among the block's different ones.
         self.second = np.flatnonzero(self.doc[1:] == self.doc[:-1]) + 1
-        codes = self.tokens[self.second - 1] * len(self.words) + self.tokens[self.second]
-        self.pairs, self.pair = np.unique(codes, return_inverse=True)
-
-    @staticmethod
-    def read(batches) -> Iterator[Block]:
-        import pyarrow as pa
-
-        held, now = [], None
-        for b in batches:
-            ids = b.column("block").to_numpy()
-            ends = [*(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
-            start = 0
-            for end in ends:
-                if start == end:
-                    continue
-                if held and ids[start] != now:
-                    yield Block(pa.Table.from_batches(held))
-                    held = []
-                now = ids[start]
-                held.append(b.slice(start, end - start))
-                start = end
-        if held:
-            yield Block(pa.Table.from_batches(held))
-
-    def counts(self, good: np.ndarray) -> np.ndarray:
-        """Of the block's words, then of its bigrams: how often in all its documents, and in the good ones."""
+        self.n_words = n = max(1, len(words))
+        pairs, self.pair = np.unique(self.word[self.second - 1] * n + self.word[self.second], return_inverse=True)
+        one = mixed(words)
+        two = mixed(one[pairs // n] * np.uint64(0x9E3779B97F4A7C15) + words[pairs % n]) if len(pairs) else np.zeros(0, np.uint64)
+        # The last bit tells words from bigrams.
+        self.keys = np.concatenate([one & ~np.uint64(1), two | np.uint64(1)])
+        self.order = np.argsort(self.keys, kind="stable")
+
+    def counts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Of each key: how often in all the block's documents, and in the good ones."""
+        n = len(self.keys)
+        v = n - (int(self.pair.max()) + 1 if len(self.pair) else 0)
+        of, good = np.concatenate([self.word, self.pair + v]), self.good[np.concatenate([self.doc, self.doc[self.second]])]
+        return np.bincount(of, minlength=n), np.bincount(of[good], minlength=n)
+
+    def losses(self, background: np.ndarray, target: np.ndarray, totals: np.ndarray, vocabulary: int) -> np.ndarray:
+        """Mean loss of each document by target and background.  background, target: all documents' counts of each key."""
+        v = len(self.keys) - (int(self.pair.max()) + 1 if len(self.pair) else 0)
+
+        def own(doc, of, n):
+            _, at, times = np.unique(doc * max(1, n) + of, return_inverse=True, return_counts=True)
+            return times[at]
+
+        one, two = own(self.doc, self.word, v), own(self.doc[self.second], self.pair, len(self.keys) - v)
         out = []
-        for of, doc, n in ((self.tokens, self.doc, len(self.words)), (self.pair, self.doc[self.second], len(self.pairs))):
-            out.append(np.stack([np.bincount(of, minlength=n), np.bincount(of[good[doc]], minlength=n)], 1))
-        return np.concatenate(out).astype(np.int64)
-
-
-def _asked(blocks: DataFrame) -> DataFrame:
-    """a, b, block, n, own, target: each block's words (b is NO_WORD) and bigrams, with its own counts."""
-    import pyarrow as pa
-
-    def run(batches):
-        for block in Block.read(batches):
-            c = block.counts(np.isin(block.docs.column("n").to_numpy(), block.answers.column("n").to_numpy()))
-            v = len(block.words)
-            a = np.concatenate([block.words, block.words[block.pairs // max(1, v)]])
-            b = np.concatenate([np.full(v, NO_WORD), block.words[block.pairs % max(1, v)]])
-            for k in range(0, len(a), 1 << 16):
-                part = slice(k, k + (1 << 16))
-                n = len(a[part])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a[part]), pa.array(b[part]), pa.array(np.full(n, block.id)), pa.array(np.arange(k, k + n, dtype=np.int32)), pa.array(c[part, 0]), pa.array(c[part, 1])],
-                    ["a", "b", "block", "n", "own", "target"],
-                )
-
-    return blocks.mapInArrow(run, "a long, b long, block long, n int, own long, target long")
+        for n, total, off in ((target, totals[1], self.good), (background, totals[0], np.ones(len(self.good), bool))):
+            single = n[self.word] - one * off[self.doc]
+            p = (single + 1) / ((total - self.lengths * off)[self.doc] + vocabulary)
+            p[self.second] = (n[v + self.pair] - two * off[self.doc[self.second]] + PRIOR * p[self.second]) / (single[self.second - 1] + PRIOR)
+            out.append(np.bincount(self.doc, -np.log(p), len(self.lengths)) / np.maximum(1, self.lengths))
+        return np.stack(out)
 
 
-def score(docs: DataFrame, good: DataFrame, text: str = "text", key: str = "doc_id", tokens: int = TOKENS) -> DataFrame:
+def score(docs: DataFrame, good: DataFrame, text: str = "text", key: str = "doc_id", letters: int = LETTERS) -> DataFrame:
     """docs without text, with n_tokens, ce_target, ce_background and ce_diff (target minus background, in nats for a token).
 
-    good (key): the target's documents; without any, the target's model is uniform.  tokens: of a block, at which it ends.
-    Whole texts, of any length.  A null or empty text has no tokens and null losses.  Repeated rows are documents of their own, all good if their key is; a null key is never good.
+    good (key): the target's documents; without any, the target's model is uniform.  letters: of a block, about.  Whole texts, of any length; a
+    block's documents are held together, and rows with one key are in one block (a null key's are dealt by their texts).  A null or empty text has
+    no tokens and null losses.  Repeated rows are documents of their own, all good if their key is; a null key is never good.
     """
     import pyarrow as pa
 
     spark = docs.sparkSession
-    folder = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
-
-    def written(df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{folder}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{folder}/{name}")
-
-    blocks = written(packed(docs.drop(*RESULTS), text, tokens), "blocks")
-    # Labels grow with the documents: one kind of join at every size, which never holds them in one place.
-    mark = good.select(F.col(key).alias("key")).filter("key is not null").distinct().hint("merge")
-    ids = blocks.filter(F.col("kind") == DOCUMENT).select("block", "n", F.col("kept").getField(key).alias("key"))
-    marks = ids.join(mark, "key").select("block", F.lit(ANSWER).alias("kind"), "n")
-    asked = _asked(by_block(blocks.select("block", "kind", "n", "tokens").unionByName(marks, allowMissingColumns=True)))
-
-    same = Window.partitionBy("a", "b")
-    counts = asked.select(
-        "block", "n", "own", F.col("target").alias("own_target"), F.when(F.col("b") == NO_WORD, F.lit(True)).otherwise(False).alias("word"), "a",
-        F.sum("own").over(same).alias("background"), F.sum("target").over(same).alias("target"), (F.min("block").over(same) == F.col("block")).alias("first"),
+    docs = docs.drop(*RESULTS)
+    fields = [f for f in docs.schema.fields if f.name != text]
+    blocks = max(1, (docs.agg(F.sum(F.length(text))).first()[0] or 0) // letters)
+    buckets = max(1, blocks // BLOCKS)
+
+    def dealt(*of):
+        return F.pmod(F.xxhash64(*of), F.lit(blocks)).cast("long").alias("block")
+
+    # Labels grow with the documents, so their marks are dealt as the documents are.
+    kind = docs.schema[key].dataType
+    marks = good.select(F.col(key).cast(kind).alias("key")).filter("key is not null").distinct().select(dealt("key"), F.lit(MARK).alias("kind"), "key")
+    plain = docs.select(
+        F.when(F.col(key).isNull(), dealt(text)).otherwise(dealt(key)).alias("block"), F.lit(DOCUMENT).alias("kind"), F.col(key).alias("key"),
+        F.struct(*(F.col(f.name) for f in fields)).alias("kept"), F.col(text).cast("string").alias("data"),
     )
-    # A bigram held by one block only needs no answer but for the good ones' counts, which the block can't tell without marks.
-    counts = written(counts.filter("word or first or background <> own or target > 0"), "counts")
-    totals = counts.filter("word and first").agg(F.sum("background"), F.sum("target"), F.count("*")).first()
-    total = np.array([totals[0] or 0, totals[1] or 0], float)
-    vocabulary = max(1, totals[2])
-    joint = counts.filter("first and not word").groupBy("a").agg(*(F.sum(F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))).alias("joint_" + c) for c in ("background", "target")))
-    word = counts.filter("word").join(joint.hint("merge"), "a", "left")
-    answer = [F.lit(ANSWER).alias("kind"), "block", "n", "background", "target"]
-    words = word.select(*answer, *(F.coalesce("joint_" + c, F.lit(0.0)).alias("joint_" + c) for c in ("background", "target")))
-    pairs = counts.filter("not word and (background <> own or target > 0)").select(*answer)
-    stream = blocks.unionByName(words.unionByName(pairs, allowMissingColumns=True), allowMissingColumns=True)
-    fields = [f for f in docs.schema.fields if f.name not in (text, *RESULTS)]
+
+    def squeeze(batches):
+        import zstandard
+
+        z = zstandard.ZstdCompressor()
+        for b in slices(batches):
+            data = pa.array([z.compress("\n".join(words_of(t)).encode("utf-8", "surrogatepass")) for t in b.column("data").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], data], b.schema.names)
+
+    packed = plain.mapInArrow(squeeze, StructType([*plain.schema.fields[:-1], *StructType.fromDDL("data binary").fields]))
+
+    def by_block(rows: DataFrame) -> DataFrame:
+        return rows.repartition("block").sortWithinPartitions("block", "kind")
+
+    def ask(batches):
+        table = WordTable(word_hash)
+        for rows in runs(batches, "block"):
+            block = Block(rows, table)
+            keys = block.keys[block.order]
+            own, target = (c[block.order] for c in block.counts())
+            bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            ends = [*(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(keys)]
+            start = 0
+            for end in ends if len(keys) else []:
+                part = slice(start, end)
+                yield pa.RecordBatch.from_pydict(
+                    {"bucket": [int(bucket[start])], "block": [block.id], "keys": [pack(np.diff(keys[part], prepend=np.uint64(0)))], "own": [pack(own[part])], "target": [pack(target[part])]},
+                    schema=pa.schema([("bucket", pa.int64()), ("block", pa.int64()), *((c, pa.binary()) for c in ("keys", "own", "target"))]),
+                )
+                start = end
+
+    asked = by_block(packed.drop("kept").unionByName(marks, allowMissingColumns=True)).mapInArrow(ask, "bucket long, block long, keys binary, own binary, target binary")
+
+    def answer(batches):
+        schema = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("background", pa.binary()), ("target", pa.binary()), ("words", pa.int64()), ("sum", pa.int64()), ("good", pa.int64())])
+        for rows in runs(batches, "bucket"):
+            parts = [np.cumsum(unpack(k)) for k in rows.column("keys").to_pylist()]
+            keys, at = np.unique(np.concatenate(parts), return_inverse=True)
+            sums = [np.bincount(at, np.concatenate([unpack(x) for x in rows.column(c).to_pylist()]).astype(float)).astype(np.int64) for c in ("own", "target")]
+            word = keys & np.uint64(1) == 0
+            bucket, start = rows.column("bucket")[0].as_py(), 0
+            yield pa.RecordBatch.from_pylist([{"words": int(word.sum()), "sum": int(sums[0][word].sum()), "good": int(sums[1][word].sum())}], schema)
+            for block, part in zip(rows.column("block").to_pylist(), parts, strict=True):
+                mine = at[start : start + len(part)]
+                start += len(part)
+                yield pa.RecordBatch.from_pylist([{"block": block, "n": bucket, "background": pack(sums[0][mine]), "target": pack(sums[1][mine])}], schema)
+
+    asked = asked.repartition("bucket").sortWithinPartitions("bucket")
+    answers = asked.mapInArrow(answer, "block long, n long, background binary, target binary, words long, sum long, good long")
+    folder = f"{shared_folder(spark)}/lm-{uuid.uuid4().hex}"
+    answers.write.parquet(folder)
+    answers = spark.read.schema(answers.schema).parquet(folder)
+    totals = answers.agg(F.sum("sum"), F.sum("good"), F.sum("words")).first()
+    total, vocabulary = np.array([totals[0] or 0, totals[1] or 0], float), max(1, totals[2] or 0)
+    replies = answers.filter("block is not null").select("block", F.lit(ANSWER).alias("kind"), "n", "background", "target")
+    stream = packed.unionByName(marks, allowMissingColumns=True).unionByName(replies, allowMissingColumns=True)
 
     def run(batches):
-        for block in Block.read(batches):
+        table = WordTable(word_hash)
+        for rows in runs(batches, "block"):
+            block = Block(rows, table)
             if not len(block.docs):
                 continue
-            v = len(block.words)
-            n = block.counts(np.zeros(len(block.lengths), bool)).astype(float)
-            at = block.answers.column("n").to_numpy()
-            n[at] = np.stack([block.answers.column(c).to_numpy() for c in ("background", "target")], 1)
-            left, known = np.zeros((v, 2)), at < v
-            for m, c in enumerate(("joint_background", "joint_target")):
-                left[at[known], m] = block.answers.column(c).to_numpy()[known]
-            left = 1 - left / np.maximum(1, n[:v])  # what a word's bigrams leave to single words
-            p = ((n[:v] + 1) / (total + vocabulary))[block.tokens]
-            first = block.tokens[block.second - 1]
-            p[block.second] = np.maximum(0, n[v:][block.pair] - DISCOUNT) / np.maximum(1, n[first]) + left[first] * p[block.second]
-            empty = block.lengths == 0
-            loss = np.stack([np.bincount(block.doc, -np.log(p[:, m]), len(empty)) for m in (1, 0)]) / np.maximum(1, block.lengths)
+            turn = np.argsort(block.answers.column("n").to_numpy())
+            counts = np.zeros((2, len(block.keys)))
+            for m, c in enumerate(("background", "target")):
+                data = block.answers.column(c).to_pylist()
+                counts[m, block.order] = np.concatenate([*(unpack(data[k]) for k in turn), np.zeros(0, np.uint64)])
+            loss, empty = block.losses(*counts, total, vocabulary), block.lengths == 0
             kept = pa.concat_arrays(block.docs.column("kept").chunks).flatten()
             cols = [pa.array(block.lengths), *(pa.array(x, mask=empty) for x in (*loss, loss[0] - loss[1]))]
             yield pa.RecordBatch.from_arrays([*kept, *cols], [*(f.name for f in fields), *RESULTS])
