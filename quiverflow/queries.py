@@ -147,7 +147,7 @@ traversals({
     "where_count_zero": (lambda g: g.V().hasLabel("Customer").where(__.out("PLACED").count().is_(0)).id(), "select 'customer:' || c_custkey as value from customer where not exists (select 1 from orders where o_custkey = c_custkey)"),
     "where_count_many": (lambda g: g.V().hasLabel("Customer").where(__.out("PLACED").count().is_(P.gt(10))).id(), "select 'customer:' || o_custkey as value from orders group by o_custkey having count(*) > 10"),
     "union_counts": (lambda g: g.V().hasLabel("Nation").union(__.out("IN_REGION").count(), __.in_("BASED_IN").count()), "select count(*) as value from nation union all select count(*) from supplier"),
-    "optional_count": (lambda g: g.V().hasLabel("Nation").optional(__.in_("BASED_IN").count()), "select count(s_suppkey) as value from nation left join supplier on s_nationkey = n_nationkey group by n_nationkey"),
+    "optional_count": (lambda g: g.V().hasLabel("Nation").optional(__.in_("BASED_IN").count()).to_df().select(F.col("value").cast("long").alias("value")), "select count(s_suppkey) as value from nation left join supplier on s_nationkey = n_nationkey group by n_nationkey"),
     "choose_count": (lambda g: g.V().hasLabel("Customer").choose(__.out("PLACED").count().is_(0), __.id(), __.label()), "select case when exists (select 1 from orders where o_custkey = c_custkey) then 'Customer' else 'customer:' || c_custkey end as value from customer"),
     # Values of mixed types
     "is_mixed": (lambda g: g.V().hasLabel("Part").values("p_name", "p_size").is_(P.gt(25)).count(), "select count(*) as value from part where p_size > 25"),
