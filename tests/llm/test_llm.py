@@ -409,6 +409,25 @@ def test_vectors_like_brute_force(spark):
     assert vectors.link_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_repeats_ids_and_columns(spark):
+    g = np.random.default_rng(4)
+    one = g.standard_normal(8)
+    close = [one + 0.01 * g.standard_normal(8) for _ in range(3)]
+    rows = [(None, close[0], "a")] + [(k, one, "a") for k in (5, 3, 3)] + [(9, close[1], "a"), (8, close[2], "a"), (7, one, "b"), (6, 1e300 * one, "b")]
+    df = spark.createDataFrame([(k, [float(c) for c in v], t, "x", 1) for k, v, t in rows], "vec_id long, embedding array<double>, label string, u string, n_links int")
+    got = sorted(((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in vectors.link_vectors(df, tile=2).collect()), key=str)
+    a = [(3, 5, 3, True)] * 2 + [(5, 5, 3, False), (8, 5, 3, False), (9, 5, 3, False), (None, 5, None, None)]
+    assert got == sorted(a + [(6, 1, 6, True), (7, 1, 6, False)], key=str)
+
+
+def test_open_pairs_are_those_between_the_bounds():
+    g = np.random.default_rng(2)
+    x = g.standard_normal((40, 24))
+    u = vectors.unit(np.concatenate([x, x + 0.2 * g.standard_normal((40, 24))]))
+    least, most = vectors.bounds(vectors.quantise(u), vectors.quantise(u))
+    assert (least <= u @ u.T).all() and (u @ u.T <= most).all() and ((least < 0.98) & (most >= 0.98)).any()
+
+
 def test_quantisation_bound_holds():
     g = np.random.default_rng(1)
     u = g.standard_normal((200, 32))
