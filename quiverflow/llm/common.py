@@ -20,6 +20,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def fresh(name: str, *frames: DataFrame) -> str:
+    """`name`, longer where a column of the frames begins with it (Spark's names ignore case)."""
+    while any(c.lower().startswith(name.lower()) for df in frames for c in df.columns):
+        name += "_"
+    return name
+
+
 @functools.cache
 def _own_folder() -> str:
     """A folder of this process, for local masters only; it goes when the process ends."""

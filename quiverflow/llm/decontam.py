@@ -6,6 +6,8 @@ documents, where shared seeds (windows of tokens) say which items are tiled at a
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import re
 from collections import defaultdict
 
@@ -20,61 +22,66 @@ LEAST, COVERAGE = 5, 0.5
 #: Tokens of benchmark items in a block, which is what a broadcast holds at most (besides one item).
 BLOCK = 1_000_000
 tokens = re.compile(r"\w+").findall
+#: Odd, so that it has an inverse modulo 2^64.
 BASE = 1_000_003
 
 
 def rolling(ids: np.ndarray, size: int) -> np.ndarray:
-    """Karp-Rabin value of each window."""
-    out = np.zeros(max(0, len(ids) - size + 1), np.uint64)
-    for j in range(size if len(out) else 0):
-        out = out * np.uint64(BASE) + ids[j : j + len(out)].astype(np.uint64)
-    return out
+    """Karp-Rabin value of each window, modulo 2^64, rolled on from prefix to prefix: one pass for any size."""
+    n = max(0, len(ids) - size + 1)
+    if not n or not size:
+        return np.zeros(n, np.uint64)
+    up, down = (np.cumprod(np.append(np.uint64(1), np.full(len(ids) - 1, x, np.uint64))) for x in (BASE, pow(BASE, -1, 1 << 64)))
+    before = np.append(np.uint64(0), np.cumsum(ids.astype(np.uint64) * up))
+    return (before[size:] - before[:-size]) * down[:n]
+
+
+def _windows(free: list[bool], size: int) -> list[int]:
+    """Starts of the windows that lie wholly in unmarked tokens."""
+    marked = np.append(0, np.cumsum(~np.array(free, bool)))
+    return np.flatnonzero(marked[size:] == marked[:-size]).tolist() if len(free) >= size else []
 
 
 def tile(item: list[int], text: list[int], least: int) -> list[tuple[int, int, int]]:
-    """Tiles (place in item, place in text, length): the longest match of unmarked tokens is marked, again and again.
+    """Tiles (place in item, place in text, length), longest first, then by place; the longest match of unmarked tokens is marked, again and again.
 
     Search lengths fall from the item's length to `least`.  For each, windows of unmarked text tokens are
-    hashed, windows of the item look theirs up, and matches are compared and extended; one
-    over twice the search length restarts the search there.  Marks go longest first, then by place.
+    hashed, windows of the item look theirs up, and matches are compared and extended; they wait in a queue, longest
+    first.  What marks have left of one returns to the queue at its own length.
     """
     free_p, free_t = [True] * len(item), [x >= 0 for x in text]
+    hashed = np.array(item, np.int64) + 1, np.array(text, np.int64) + 1
     tiles, size = [], max(least, min(len(item), 32))
     while True:
         where = defaultdict(list)
-        run = 0
-        values = rolling(np.array(text, np.int64) + 1, size)
-        for k, ok in enumerate(free_t):
-            run = run + 1 if ok else 0
-            if run >= size:
-                where[int(values[k - size + 1])].append(k - size + 1)
-        found, longest, run = [], 0, 0
-        values = rolling(np.array(item, np.int64) + 1, size)
-        for k, ok in enumerate(free_p):
-            run = run + 1 if ok else 0
-            if run < size:
-                continue
-            p = k - size + 1
+        values = rolling(hashed[1], size)
+        for t in _windows(free_t, size):
+            where[int(values[t])].append(t)
+        queue = []
+        values = rolling(hashed[0], size)
+        for p in _windows(free_p, size) if where else ():
             for t in where.get(int(values[p]), ()):
+                if p and t and item[p - 1] == text[t - 1] and free_p[p - 1] and free_t[t - 1]:
+                    continue  # part of the match that begins before
                 n = 0
                 while p + n < len(item) and t + n < len(text) and item[p + n] == text[t + n] and free_p[p + n] and free_t[t + n]:
                     n += 1
                 if n >= size:
-                    found.append((-n, p, t))
-                    longest = max(longest, n)
-        if longest > 2 * size:
-            size = longest
-            continue
-        again = False
-        for n, p, t in sorted(found):
-            n = -n
-            if all(free_p[p : p + n]) and all(free_t[t : t + n]):
-                free_p[p : p + n] = free_t[t : t + n] = [False] * n
-                tiles.append((p, t, n))
-            else:
-                again = True  # part of it may still be free
-        if again and any(True for n, p, t in found if all(free_p[p : p + size]) and all(free_t[t : t + size])):
-            continue
+                    queue.append((-n, p, t))
+        heapq.heapify(queue)
+        while queue:
+            n, p, t = heapq.heappop(queue)
+            free = [free_p[p + k] and free_t[t + k] for k in range(-n)]
+            if all(free):
+                free_p[p : p - n] = free_t[t : t - n] = [False] * -n
+                tiles.append((p, t, -n))
+                continue
+            k = 0
+            for ok, run in itertools.groupby(free):
+                run = len(list(run))
+                if ok and run >= size:
+                    heapq.heappush(queue, (-run, p + k, t + k))
+                k += run
         if size == least:
             return tiles
         size = max(least, size // 2)

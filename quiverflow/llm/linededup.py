@@ -65,10 +65,10 @@ def may_hold(bits: Column, value: Column) -> Column:
 
 
 def _free(df: DataFrame, *names: str) -> list[str]:
-    """Column names that df doesn't have."""
+    """Column names that df doesn't have, whatever their case."""
     out: list[str] = []
     for n in names:
-        while n in (*df.columns, *out):
+        while n.lower() in {c.lower() for c in (*df.columns, *out)}:
             n = "_" + n
         out.append(n)
     return out

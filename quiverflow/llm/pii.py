@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import fresh, read
 
 
 @dataclass(frozen=True)
@@ -75,33 +75,34 @@ def find_pii(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KIND
     """docs with `spans` array<struct<start, rank, kind, end, score>>, sorted by start, then kind as listed.
 
     A null text counts as empty; an empty text has no spans.  Matches of one kind don't overlap,
-    those of different kinds may.  Repeated rows give repeated results.  Other columns stay;
-    columns named like the working ones (`_pii...`) must not exist.
+    those of different kinds may.  Repeated rows give repeated results.  Other columns stay,
+    whatever their names; a column `spans` is replaced.
     """
-    df = docs.withColumn("_pii", F.coalesce(F.col(text), F.lit("")))
+    own = fresh("_pii", docs)
+    df = docs.withColumn(own, F.coalesce(F.col(text), F.lit("")))
     for k in kinds:
         pattern = F.lit(k.pattern)
-        maybe = F.col("_pii").like(k.hint)
-        df = df.withColumn(f"_pii_m_{k.name}", F.when(maybe, F.regexp_extract_all("_pii", pattern, F.lit(0))).otherwise(F.array().cast("array<string>")))
+        maybe = F.col(own).like(k.hint)
+        df = df.withColumn(f"{own}_m_{k.name}", F.when(maybe, F.regexp_extract_all(own, pattern, F.lit(0))).otherwise(F.array().cast("array<string>")))
     for k in kinds:
-        df = df.withColumn(f"_pii_p_{k.name}", F.when(F.size(f"_pii_m_{k.name}") > 0, F.split("_pii", k.pattern, -1)))
+        df = df.withColumn(f"{own}_p_{k.name}", F.when(F.size(f"{own}_m_{k.name}") > 0, F.split(own, k.pattern, -1)))
     for k in kinds:
-        m, p = F.col(f"_pii_m_{k.name}"), F.col(f"_pii_p_{k.name}")
+        m, p = F.col(f"{own}_m_{k.name}"), F.col(f"{own}_p_{k.name}")
         ends = _running(F.zip_with(F.slice(p, 1, F.size(m)), m, lambda a, b: (F.char_length(a) + F.char_length(b)).cast("bigint")))
         rank = BASE.index(k.name) if k.name in BASE else len(BASE) + kinds.index(k)
         tail = lambda s: F.lower(F.expr(f"right(s.p, {CONTEXT})"))  # noqa: E731, F841
         found = F.arrays_zip(ends.alias("e"), m.alias("m"), F.slice(p, 1, F.size(m)).alias("p"))
-        df = df.withColumn(f"_pii_f_{k.name}", F.when(F.size(m) > 0, found))
+        df = df.withColumn(f"{own}_f_{k.name}", F.when(F.size(m) > 0, found))
         df = df.withColumn(
-            f"_pii_f_{k.name}",
+            f"{own}_f_{k.name}",
             F.expr(
-                f"coalesce(filter(transform(_pii_f_{k.name}, s -> named_struct('start', s.e - char_length(s.m), 'rank', {rank}, 'kind', '{k.name}', 'end', s.e, "
+                f"coalesce(filter(transform({own}_f_{k.name}, s -> named_struct('start', s.e - char_length(s.m), 'rank', {rank}, 'kind', '{k.name}', 'end', s.e, "
                 f"'score', least(1.0D, {k.score}D + if(lower(right(s.p, {CONTEXT})) rlike '\\\\b({k.context})', 0.3D, 0.0D)), "
                 f"'ok', transform(array(s.m), m -> {k.valid})[0])), s -> s.ok and s.score >= {k.least}D), array())"
             ),
         )
-    spans = F.array_sort(F.concat(*(F.col(f"_pii_f_{k.name}") for k in kinds)))
-    return df.withColumn("spans", spans).drop("_pii", *(f"_pii_{x}_{k.name}" for x in "mpf" for k in kinds))
+    spans = F.array_sort(F.concat(*(F.col(f"{own}_f_{k.name}") for k in kinds)))
+    return df.withColumn("spans", spans).drop(own, *(f"{own}_{x}_{k.name}" for x in "mpf" for k in kinds))
 
 
 def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,6 +54,15 @@ def test_pii_matches_brute_force(spark):
     assert rows[0]["extra"] == "x" and pii.find_pii(empty(spark)).count() == 0
 
 
+def test_pii_and_line_dedup_keep_columns_of_any_name(spark):
+    text = "mail to a@b.org now. " + " ".join(f"w{k}" for k in range(30)) + "."
+    df = spark.createDataFrame([(k, text, 1, 2, 3, 4) for k in range(2)], "doc_id long, text string, _pii int, _PII_m_email int, GONE int, _key int")
+    for x in pii.find_pii(df).collect():
+        assert (x["_pii"], x["_PII_m_email"], x["GONE"], x["_key"]) == (1, 2, 3, 4) and [s["kind"] for s in x["spans"]] == ["email"]
+    out = linededup.dedup_lines(df).collect()
+    assert sorted(x["n_removed"] for x in out)[0] == 0 and len(out) == 2 and {(x["_pii"], x["_PII_m_email"], x["GONE"], x["_key"]) for x in out} == {(1, 2, 3, 4)}
+
+
 def test_pii_adds_checked_kinds(spark):
     x = pii.find_pii(docs(spark, "iban GB82 WEST 1234 5698 7654 32 or GB82 WEST 1234 5698 7654 33; my ssn is 123-45-6789, part 123-45-6789")).first()
     assert [s["kind"] for s in x["spans"]] == ["iban", "ssn"]
@@ -233,7 +242,7 @@ def test_line_dedup_stage_like_a_search_for_50_words(spark):
 
 
 def naive_tiles(item, text, least):
-    p, t, out = [True] * len(item), [True] * len(text), 0
+    p, t, out = [True] * len(item), [True] * len(text), []
     while True:
         best = (0, 0, 0)
         for a, b in itertools.product(range(len(item)), range(len(text))):
@@ -245,16 +254,49 @@ def naive_tiles(item, text, least):
         if n < least:
             return out
         p[a : a + n] = t[b : b + n] = [False] * n
-        out += n
+        out.append((a, b, n))
 
 
 def test_tiling_like_brute_force():
     r = random.Random(4)
-    for _ in range(60):
-        item, text = ([r.randrange(4) for _ in range(n)] for n in (18, 30))
-        assert sum(x[2] for x in decontam.tile(item, text, 3)) == pytest.approx(naive_tiles(item, text, 3), abs=6)
+    for k in range(150):
+        item, text = ([r.randrange(2 + k % 4) for _ in range(n)] for n in (18 + k % 30, 40))
+        assert decontam.tile(item, text, 3) == naive_tiles(item, text, 3)
         text = [9] * 3 + item[9:] + [9] + item[:9] + [9]
-        assert sum(x[2] for x in decontam.tile(item, text, 3)) == len(item)
+        assert decontam.tile(item, text, 3) == naive_tiles(item, text, 3)
+    assert decontam.tile([], [1, 2, 3], 2) == decontam.tile([1, 2, 3], [], 2) == decontam.tile([1, 2, 3], [1, 2], 3) == []
+
+
+def test_rolling_windows_are_equal_where_tokens_are():
+    r = random.Random(8)
+    ids = [r.randrange(3) for _ in range(400)]
+    for size in (1, 3, 7):
+        values = decontam.rolling(np.array(ids), size).tolist()
+        assert len(values) == 400 - size + 1 and len(set(values)) == len({tuple(ids[k : k + size]) for k in range(len(values))})
+    assert len(decontam.rolling(np.array([1, 2]), 3)) == len(decontam.rolling(np.array([], int), 3)) == 0
+
+
+def test_leaks_like_brute_force(spark):
+    r = random.Random(6)
+    items = [prose(k, 20).lower() for k in range(12)] + ["ka lo", "", None]
+    texts = [None, ""]
+    for k in range(60):
+        words = prose(100 + k, 30).split()
+        for _ in range(k % 4):
+            source = (items[r.randrange(12)]).split()
+            a = r.randrange(15)
+            words[r.randrange(len(words)) : 0] = source[a : a + r.randrange(3, 21)]
+        texts.append(" ".join(words))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = set()
+    for d, t in enumerate(texts):
+        for k, item in enumerate(items):
+            one, two = re.findall(r"\w+", (item or "").lower()), re.findall(r"\w+", (t or "").lower())
+            n = sum(x[2] for x in naive_tiles(one, two, min(decontam.LEAST, len(one)))) if one and two else 0
+            if n and n >= decontam.COVERAGE * len(one):
+                want.add((d, k, len(one), n))
+    got = [(x["doc_id"], x["item_id"], x["n_tokens"], x["n_matched"]) for x in decontam.find_leaks(docs(spark, *texts), bench).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 5
 
 
 def test_decontamination(spark):
