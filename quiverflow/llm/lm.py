@@ -24,7 +24,7 @@ from .common import WordTable, read, shared_folder, slices, word_hash
 #: The prior's weight, in tokens after a word.
 PRIOR = 4.0
 #: About so many letters are a block, and so many blocks' entries a bucket.
-LETTERS, BLOCKS = 6 << 20, 4
+LETTERS, BLOCKS = 3 << 20, 2
 #: Rows of a block, in this order: answers, marks of good keys, documents.
 ANSWER, MARK, DOCUMENT = range(3)
 RESULTS = ["n_tokens", "ce_target", "ce_background", "ce_diff"]
@@ -189,15 +189,19 @@ def score(docs: DataFrame, good: DataFrame, text: str = "text", key: str = "doc_
         schema = pa.schema([("block", pa.int64()), ("n", pa.int64()), ("background", pa.binary()), ("target", pa.binary()), ("words", pa.int64()), ("sum", pa.int64()), ("good", pa.int64())])
         for rows in runs(batches, "bucket"):
             parts = [np.cumsum(unpack(k)) for k in rows.column("keys").to_pylist()]
-            keys, at = np.unique(np.concatenate(parts), return_inverse=True)
-            sums = [np.bincount(at, np.concatenate([unpack(x) for x in rows.column(c).to_pylist()]).astype(float)).astype(np.int64) for c in ("own", "target")]
+            keys = np.unique(np.concatenate(parts))
+            sums = np.zeros((2, len(keys)), np.int64)
+            for k, part in enumerate(parts):
+                at = np.searchsorted(keys, part)
+                for m, c in enumerate(("own", "target")):
+                    np.add.at(sums[m], at, unpack(rows.column(c)[k].as_py()).astype(np.int64))
             word = keys & np.uint64(1) == 0
-            bucket, start = rows.column("bucket")[0].as_py(), 0
+            bucket, ids = rows.column("bucket")[0].as_py(), rows.column("block").to_pylist()
+            del rows
             yield pa.RecordBatch.from_pylist([{"words": int(word.sum()), "sum": int(sums[0][word].sum()), "good": int(sums[1][word].sum())}], schema)
-            for block, part in zip(rows.column("block").to_pylist(), parts, strict=True):
-                mine = at[start : start + len(part)]
-                start += len(part)
-                yield pa.RecordBatch.from_pylist([{"block": block, "n": bucket, "background": pack(sums[0][mine]), "target": pack(sums[1][mine])}], schema)
+            for block, part in zip(ids, parts, strict=True):
+                at = np.searchsorted(keys, part)
+                yield pa.RecordBatch.from_pylist([{"block": block, "n": bucket, "background": pack(sums[0][at]), "target": pack(sums[1][at])}], schema)
 
     asked = asked.repartition("bucket").sortWithinPartitions("bucket")
     answers = asked.mapInArrow(answer, "block long, n long, background binary, target binary, words long, sum long, good long")
