@@ -13,11 +13,14 @@ weighted Jaccard similarity.  r, c ~ Gamma(2, 1) and b ~ U(0, 1) are read from t
 
 from __future__ import annotations
 
+import itertools
+from collections import Counter, defaultdict
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordTable, components, cut, read, slices, tidy, word_hash
+from .common import components, cut, read, slices, tidy, word_hash
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Bands and samples in each; a pair at 0.8 shares a band with a probability of 0.998.
@@ -35,22 +38,38 @@ DRAWS = [f"d{k}" for k in range(BANDS * ROWS // 8)]
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Words that a task counts before it passes them on.
 FLUSH = 1 << 20
+#: Bytes of texts that are split into words at once (a longer text alone), and shingles that are sampled together.
+SPLIT, CACHED = 1 << 20, 1 << 14
 
 
 def words_of(text: str | None) -> list[str]:
     return text.lower().split() if text else []
 
 
+def pieces(batches, text: str):
+    """Slices, cut so that the texts of one have SPLIT bytes at most or are one."""
+    import pyarrow.compute as pc
+
+    for b in slices(batches):
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(text)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < b.num_rows:
+            end = max(at + 1, int(np.searchsorted(size, SPLIT + (size[at - 1] if at else 0), "right")))
+            yield b.slice(at, end - at)
+            at = end
+
+
 class Idf:
     """ln((documents + 1) / (frequency + 1)) + 1, where a frequency is at least RARE of all documents.  words: sorted hashes; n: their frequencies."""
 
     def __init__(self, documents: int, words: np.ndarray, n: np.ndarray):
-        self.words, self.most = words, float(np.log((documents + 1) / (RARE * documents + 1)) + 1)
-        self.idf = np.minimum(np.log((documents + 1) / (n + 1)) + 1, self.most)
+        self.most = float(np.log((documents + 1) / (RARE * documents + 1)) + 1)
+        self.words = np.append(words, np.iinfo(np.int64).max)  # no search ends behind the last
+        self.idf = np.append(np.minimum(np.log((documents + 1) / (n + 1)) + 1, self.most), self.most)
 
-    def __call__(self, word: int) -> float:
-        k = int(np.searchsorted(self.words, word))
-        return float(self.idf[k]) if k < len(self.words) and self.words[k] == word else self.most
+    def __call__(self, words: np.ndarray) -> np.ndarray:
+        k = np.searchsorted(self.words, words)
+        return np.where(self.words[k] == words, self.idf[k], self.most)
 
 
 def document_frequency(docs: DataFrame, text: str = "text") -> Idf:
@@ -58,18 +77,21 @@ def document_frequency(docs: DataFrame, text: str = "text") -> Idf:
     import pyarrow as pa
 
     def run(batches):
-        held, size, n, hashed = [], 0, 0, WordTable(word_hash)
+        held, size, n = [], 0, 0
 
         def out():
-            k, count = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_counts=True)
+            k, count = np.concatenate([np.zeros((2, 0), np.int64), *held], axis=1)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(count)], ["word", "n"])
-
-        for b in slices(batches):
-            for t in b.column(0).to_pylist():
-                if w := words_of(t):
-                    held.append(np.unique(np.array([hashed[x] for x in set(w)], np.int64)))
-                    size, n = size + len(held[-1]), n + 1
+            order = np.argsort(k)
+            k, count = k[order], count[order]
+            first = np.flatnonzero(np.diff(k, prepend=-1))
+            return pa.RecordBatch.from_arrays([pa.array(k[first]), pa.array(np.add.reduceat(count, first))], ["word", "n"])
+
+        for b in pieces(batches, text):
+            seen = [w for t in b.column(0).to_pylist() if (w := set(words_of(t)))]
+            words = Counter(itertools.chain.from_iterable(seen))
+            held.append(np.array([[word_hash(w) for w in words], list(words.values())], np.int64))
+            size, n = size + len(words), n + len(seen)
             if size > FLUSH:
                 yield out()
                 size = 0
@@ -84,31 +106,48 @@ def document_frequency(docs: DataFrame, text: str = "text") -> Idf:
 
 
 class Shingler:
-    """Weighted shingles of texts.  idf: of a word's hash."""
+    """Weighted shingles of texts.  idf: of an array of words' hashes; each different word of the texts is looked up once, all together."""
 
     def __init__(self, idf):
-        self.words = WordTable(lambda w: ((h := word_hash(w)), idf(h)))
-
-    def __call__(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Sorted shingle hashes and their weights, for each text; a text of fewer than five words is one shingle."""
-        out = []
-        for t in texts:
-            w = [self.words[x] for x in words_of(t)]
-            if not w:
-                out.append((np.zeros(0, np.uint64), np.zeros(0)))
-                continue
-            h, idf = np.array([x for x, _ in w], np.uint64), np.array([x for _, x in w])
-            n = min(SHINGLE, len(h))
-            m = len(h) - n + 1
-            key, weight = np.zeros(m, np.uint64), np.zeros(m)
-            for j in range(n):
-                key = (key ^ h[j : j + m]) * MIX
-                key ^= key >> np.uint64(29)
-                weight += idf[j : j + m] / n
-            key, first, count = np.unique(key, return_index=True, return_counts=True)
-            out.append((key, weight[first] * count))
+        self.idf = idf
+
+    def __call__(self, texts: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Sorted shingle hashes and their weights, for each text, given as its words; a text of fewer than five words is one shingle."""
+        out = [(np.zeros(0, np.uint64), np.zeros(0))] * len(texts)
+        for n in range(1, SHINGLE + 1):
+            those = [k for k, w in enumerate(texts) if min(len(w), SHINGLE) == n]
+            if those:
+                for k, made in zip(those, self.group([texts[k] for k in those], n), strict=True):
+                    out[k] = made
         return out
 
+    def group(self, texts: list[list[str]], n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Likewise with shingles of n words; no text has fewer."""
+        ends = np.cumsum([len(w) for w in texts])
+        place = defaultdict(itertools.count().__next__)
+        at = np.fromiter(map(place.__getitem__, itertools.chain.from_iterable(texts)), np.int64, ends[-1])
+        h = np.fromiter(map(word_hash, place), np.int64, len(place))
+        idf, h = (self.idf(h) / n)[at], h.view(np.uint64)[at]
+        m = len(h) - n + 1
+        key, weight = np.zeros(m, np.uint64), np.zeros(m)
+        for j in range(n):
+            key = (key ^ h[j : j + m]) * MIX
+            key ^= key >> np.uint64(29)
+            weight += idf[j : j + m]
+        order, starts, start = [], [], 0
+        for end in ends.tolist():  # windows over two texts are in no piece
+            order.append(np.argsort(key[start : end - n + 1]) + start)
+            starts.append(end - start - n + 1)
+            start = end
+        order, starts = np.concatenate(order), np.append(0, np.cumsum(starts))
+        key = key[order]
+        new = np.append(True, key[1:] != key[:-1])
+        new[starts[:-1]] = True
+        first = np.flatnonzero(new)
+        key, weight = key[first], weight[order[first]] * np.diff(np.append(first, len(order)))
+        cuts = np.searchsorted(first, starts).tolist()
+        return [(key[i:j], weight[i:j]) for i, j in itertools.pairwise(cuts)]
+
 
 def random_tables(samples: int, seed: int = 5):
     g = np.random.default_rng(seed)
@@ -121,24 +160,31 @@ def random_tables(samples: int, seed: int = 5):
 def samples_of(shingles: list[tuple[np.ndarray, np.ndarray]], tables) -> np.ndarray:
     """For each text and sample 64 bits: ln a of the shingle drawn, which tells its t, and 32 bits of its hash.  No text may be empty."""
     r, inv, log_c, b, odd = tables
-    out = np.zeros((len(shingles), len(odd)), np.int64)
+    out = np.zeros((len(odd), len(shingles)), np.int64)
     size = np.array([len(k) for k, _ in shingles])
     mask, low = (1 << TABLE_BITS) - 1, np.int64((1 << 32) - 1)
     at = 0
     while at < len(size):  # texts whose shingles together fit a cache
-        end = at + max(1, int(np.searchsorted(np.cumsum(size[at:]), 1 << 14)))
+        end = at + max(1, int(np.searchsorted(np.cumsum(size[at:]), CACHED)))
         keys = np.concatenate([k for k, _ in shingles[at:end]])
         log = np.log(np.concatenate([w for _, w in shingles[at:end]])).astype(np.float32)
         starts = np.append(0, np.cumsum(size[at:end])[:-1])
         for j, m in enumerate(odd):
-            h = (keys * m >> np.uint64(64 - 3 * TABLE_BITS)).astype(np.int64)
-            kr, kb = h >> (2 * TABLE_BITS), h >> TABLE_BITS & mask
-            x, y = r[kr], b[kb]
-            a = (log_c[h & mask] - x * (np.floor(log * inv[kr] + y) - y + 1)).view(np.int32)
-            a = a ^ ((a >> 31) & 0x7FFFFFFF)  # whole numbers in the order of the floats
-            out[at:end, j] = np.minimum.reduceat(a.astype(np.int64) << 32 | h & low, starts)
+            h = (keys * m >> np.uint64(64 - 3 * TABLE_BITS)).view(np.int64)
+            k = h >> (2 * TABLE_BITS)
+            x, t = r.take(k, mode="clip"), inv.take(k, mode="clip")  # no place is beyond the tables; "clip" spares the check
+            y = b.take(h >> TABLE_BITS & mask, mode="clip")
+            t *= log
+            t += y
+            np.floor(t, out=t)
+            t -= y
+            t += 1
+            x *= t
+            a = (log_c.take(h & mask, mode="clip") - x).view(np.int32)
+            a ^= (a >> 31) & 0x7FFFFFFF  # whole numbers in the order of the floats
+            out[j, at:end] = np.minimum.reduceat(a.astype(np.int64) << 32 | h & low, starts)
         at = end
-    return out
+    return np.ascontiguousarray(out.T)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -237,16 +283,16 @@ def links_of(met: DataFrame, draws: DataFrame, docs: DataFrame, shingler, simila
                         found[1].append(min(x, y))
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["a", "b"])
 
-        for b in slices(batches):
+        for b in pieces(batches, "text"):
             cols = [b.column(c).to_pylist() for c in names]
             drawn = np.column_stack([b.column(d).to_numpy() for d in DRAWS]).view(np.uint8)
-            bands, alone, texts = b.column("bands").to_pylist(), b.column("alone").to_pylist(), b.column("text").to_pylist()
+            bands, alone, made = b.column("bands").to_pylist(), b.column("alone").to_pylist(), make([words_of(t) for t in b.column("text").to_pylist()])
             for k, row in enumerate(zip(*cols, strict=True)):
                 if row[:2] != at:
                     if len(held) > 1:
                         yield out()
                     at, held = row[:2], []
-                held.append((*row, drawn[k], bands[k], alone[k], make([texts[k]])[0]))
+                held.append((*row, drawn[k], bands[k], alone[k], made[k]))
         if len(held) > 1:
             yield out()
 
@@ -281,11 +327,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
 
     def sign(batches):
         make = shingler()
-        for b in slices(batches):
+        for b in pieces(batches, "text"):
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            normal = [" ".join(words_of(t)) for t in texts]
-            rows = [k for k, t in enumerate(normal) if t]
-            drawn = samples_of(make([texts[k] for k in rows]), tables.value) if rows else np.zeros((0, BANDS * ROWS), np.int64)
+            words = [words_of(t) for t in texts]
+            rows = [k for k, w in enumerate(words) if w]
+            drawn = samples_of(make([words[k] for k in rows]), tables.value) if rows else np.zeros((0, BANDS * ROWS), np.int64)
             drawn = drawn.view(np.uint64) * MIX
             drawn ^= drawn >> np.uint64(32)
             full = np.zeros((len(rows), BANDS), np.uint64) + np.arange(BANDS, dtype=np.uint64)
@@ -294,9 +340,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", si
                 full ^= full >> np.uint64(31)
             values = np.zeros((len(ids), len(marks)), np.int64)
             values[rows, :BANDS] = full.view(np.int64)
-            values[:, BANDS] = [t.count(" ") + 1 if t else 0 for t in normal]
+            values[:, BANDS] = [len(w) for w in words]
             values[rows, BANDS + 1 :] = (drawn & np.uint64(255)).astype(np.uint8).view(np.int64)
-            same = [None if t is None else xxhash.xxh3_128_digest(n.encode("utf-8", "surrogatepass")) for t, n in zip(texts, normal, strict=True)]
+            same = [None if t is None else xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "surrogatepass")) for t, w in zip(texts, words, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(same, pa.binary()), *map(pa.array, values.T)], ["doc_id", "same", *marks])
 
     signed = cut(docs.mapInArrow(sign, "doc_id long, same binary, " + ", ".join(f"{c} long" for c in marks)))

@@ -396,6 +396,30 @@ def test_samples_agree_as_often_as_weights_overlap():
     assert abs(np.mean(near) - np.mean(like)) < 0.03
 
 
+def test_shingles_look_up_a_slice_of_words_at_once(monkeypatch):
+    """The weights are those of each text by itself; rare words cost no call each; long texts are split alone."""
+    import pyarrow as pa
+
+    texts = ["", "a", "a b", "a b c d", "a b c d e", "a b c d e f", "a a a a a a a", prose(1, 300), prose(2, 300), " ".join(f"w{k}" for k in range(900)), "c d e f a"]
+    held = np.sort([minhash.word_hash(w) for w in ("a", "c", "w7")])
+    idf, calls = minhash.Idf(100_000, held, np.array([50_000, 700, 20])), []
+    got = minhash.Shingler(lambda words: calls.append(len(words)) or idf(words))([minhash.words_of(t) for t in texts])
+    assert len(calls) <= 5 and max(calls) < 1500
+    for t, (key, weight) in zip(texts, got, strict=True):
+        w = t.split()
+        want = Counter()
+        for k in range(len(w) - min(5, len(w)) + 1 if w else 0):
+            one = tuple(w[k : k + 5])
+            want[one] += sum(idf(np.array([minhash.word_hash(x)]))[0] for x in one) / len(one)
+        assert (np.diff(key.astype(object)) > 0).all() and np.allclose(sorted(weight), sorted(want.values()))
+    for n in range(len(texts)):  # whatever else is in the slice
+        (alone,) = minhash.Shingler(idf)([texts[n].split()])
+        assert all(np.array_equal(x, y) for x, y in zip(alone, got[n], strict=True))
+    monkeypatch.setattr(minhash, "SPLIT", 100)
+    batch = pa.RecordBatch.from_arrays([pa.array([None, "x" * 60, "y" * 40, "z" * 500, "", "v" * 99])], ["text"])
+    assert [[len(t or "") for t in b.column(0).to_pylist()] for b in minhash.pieces([batch], "text")] == [[0, 60, 40], [500], [0, 99]]
+
+
 def test_near_duplicates_recall(spark):
     """Queries: every id divisible by 100, against all rows; recall of the pairs found by brute force."""
     r, texts = random.Random(12), []
