@@ -18,6 +18,26 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import WordTable, read, slices, worker_state
 
 SUFFIX = "</w>"
+# Where the tables of the tokenizers library (0.23) and those of Python's modules (3.13, regex) are of different ages, found by comparing all code points.
+#: Letters and numbers of regex that are neither to the library.
+NO_LETTERS = (
+    r"\u0558\u058b\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c\uab6d\U000107bb-\U000107bf"
+    r"\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011de0-\U00011de9\U00011df1\U0001246f"
+    r"\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda"
+    r"\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24"
+    r"\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4\U0001e6e5\U0001e6e7-\U0001e6ed"
+    r"\U0001e6f0-\U0001e6f4\U0001e6fe\U0001e6ff\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+#: Marks that its NFC takes for starters, as a younger Unicode made them marks; the last one is U+11930, which it doesn't put together with U+11935.
+STARTERS = (
+    r"\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c\U00010d24-\U00010d27\U00010eab\U00010eac"
+    r"\U00010efd-\U00010eff\U00010f46-\U00010f50\U00010f82-\U00010f85\U00011070\U0001133b\U0001145e\U00011839\U0001183a\U0001193d\U0001193e\U00011943"
+    r"\U000119e0\U00011a34\U00011a47\U00011a99\U00011d42\U00011d44\U00011d45\U00011d97\U00011f41\U00011f42\U00016ff0\U00016ff1\U0001e08f"
+    r"\U0001e130-\U0001e136\U0001e2ae\U0001e2ec-\U0001e2ef\U0001e4ec-\U0001e4ef\U00011930"
+)
+#: Capitals that it lowers and Python doesn't.
+LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LOWER |= {k: k + 32 for k in range(0x10D50, 0x10D66)} | {k: k + 27 for k in range(0x16EA0, 0x16EB9)}
 
 
 def tokenizer_path() -> str:
@@ -81,6 +101,10 @@ class WordBpe:
         self.fits = WordTable(self._fits, 200_000)
         self.words = WordTable(self._word_bytes)
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+        no = f"(?![{NO_LETTERS}])"
+        self.split_odd = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|(?:{no}\p{{L}})+|{no}\p{{N}}|(?:[^\s\p{{L}}\p{{N}}]|[{NO_LETTERS}])+").findall
+        self.odd = regex.compile(f"[{NO_LETTERS}{STARTERS}\U00011938{''.join(map(chr, LOWER))}]").search
+        self.cut_starters = regex.compile(f"(?=[{STARTERS}])|(?<=[{STARTERS}])|(\U00011938)").split
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else lambda text: [text]
 
     def _fits(self, pair: tuple[int, int]) -> bool:
@@ -131,6 +155,10 @@ class WordBpe:
     def _word_bytes(self, word: str) -> bytes:
         return b"".join([i.to_bytes(4, "little") for i in self.encode_word(word.encode("utf-8"))])
 
+    def normal_odd(self, text: str) -> str:
+        """NFC by the library's tables."""
+        return "".join([x if x == "\U00011938" else unicodedata.normalize("NFC", x) for x in self.cut_starters(text) if x])
+
     def encode_bytes(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         out, words = [], self.words
@@ -138,8 +166,10 @@ class WordBpe:
             if part in self.special:
                 out.append(self.special[part].to_bytes(4, "little"))
             elif part:
-                part = unicodedata.normalize("NFC", part).replace("\u03a3", "\u03c3").lower()
-                out += [words[w] for w in self.split(part)]
+                odd = not part.isascii() and self.odd(part)
+                part = self.normal_odd(part) if odd else unicodedata.normalize("NFC", part)
+                part = part.replace("\u03a3", "\u03c3").lower()
+                out += [words[w] for w in (self.split_odd(part.translate(LOWER)) if odd else self.split(part))]
         return b"".join(out)
 
     def encode(self, text: str) -> list[int]:

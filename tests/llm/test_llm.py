@@ -159,6 +159,19 @@ def test_bpe_like_the_library(spark):
     assert [len(x["ids"]) for x in out] == [2, 0, 0] and out[0]["back"] == "the</w> cat</w>" and out[0]["extra"] == "x"
 
 
+def test_bpe_like_the_library_over_all_planes():
+    """Also letters, marks and capitals that are in only one of the library's and Python's Unicode tables."""
+    tokenizers = pytest.importorskip("tokenizers")
+    ref = tokenizers.Tokenizer.from_file(bpe.tokenizer_path())
+    own = bpe.WordBpe(open(bpe.tokenizer_path(), encoding="utf-8").read())
+    r = random.Random(4)
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    odd = [*"a1!é\u0301\u0316\u0334Σ ", "'s", "\u0558", "\u088f", "\u07fd", "\u0898", "\u1abf", "\u1c89", "\ua7dc", "\U00010d50", "\U00016ea0", "\U00011930", "\U00011935", "\U00011938", "\U0002b73a"]
+    texts = ["".join(r.choices(letters, k=4)) for _ in range(20_000)] + ["".join(r.choices(odd, k=r.randint(1, 9))) for _ in range(20_000)]
+    wrong = [t for t, x in zip(texts, ref.encode_batch(texts, add_special_tokens=False), strict=True) if own.encode(t) != x.ids]
+    assert not wrong, (len(wrong), wrong[:5])
+
+
 # Line dedup
 
 
