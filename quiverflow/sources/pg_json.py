@@ -20,20 +20,23 @@ def is_pg(value) -> bool:
 
 def graph_of(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> PropertyGraph:
     """nodes (seq, id, labels, properties json), edges (seq, id, from, to, labels, properties json); an edge that hangs
-    in the air raises when rows are read, parallel edges with one derived id collapse to the first."""
+    in the air raises when rows are read, parallel edges with one derived id collapse to the first.  One job finds the
+    properties' names, their types and loose ends."""
     derived = F.concat(F.col("from"), F.lit("-["), F.array_join("labels", ","), F.lit("]->"), F.col("to"))
     edges = edges.withColumn("id", F.coalesce("id", derived))
     edges = edges.groupBy("id").agg(F.min_by(F.struct("seq", "from", "to", "labels", "properties"), "seq").alias("e")).select("id", "e.*")
-    known = nodes.select(F.col("id").alias("_id"))
-    for end in ("from", "to"):
-        if not edges.join(known, F.col(end) == F.col("_id"), "left_anti").isEmpty():
-            raise ValueError("an edge's end is no node")
+    texts = F.from_json("properties", "map<string,string>")
+    numbers = F.expr("v rlike '^\\\\[[-+0-9.eE,]*\\\\]$' and not contains(v, ',,') and not startswith(v, '[,')")  # no nested repetition, which long mixed lists would make backtrack
+    seen = lambda kind, df: df.select(F.lit(kind).alias("kind"), F.explode(texts).alias("name", "v")).groupBy("kind", "name").agg(F.coalesce(F.bool_and(numbers), F.lit(True)).alias("ok"))
+    ends = nodes.filter("id is not null").select("id", F.lit(True).alias("ok")).union(edges.select(F.explode(F.array("from", "to")), F.lit(False)))
+    loose = ends.groupBy("id").agg(F.bool_or("ok").alias("ok")).filter("not ok").select(F.lit("end"), "id", "ok").limit(1)
+    found = seen("node", nodes).union(seen("edge", edges)).union(loose).collect()  # the schema
+    if any(kind == "end" for kind, _, _ in found):
+        raise ValueError("an edge's end is no node")
     tables = []
-    for df, cls, cols in ((nodes, VertexTable, ["id", "seq", "labels"]), (edges, EdgeTable, ["id", "seq", F.col("from").alias("src"), F.col("to").alias("dst"), "labels"])):
-        keys = [r[0] for r in df.select(F.explode(F.json_object_keys("properties"))).distinct().collect()]  # the schema
-        kind = lambda k, d=df: d.select(F.get_json_object("properties", f"$['{k}']").alias("v")).filter("v is not null and v not rlike '^\\\\[(-?[0-9.eE+-]+,?)*\\\\]$'").isEmpty()
-        props = [F.from_json(F.get_json_object("properties", f"$['{k}']"), "array<double>" if kind(k) else "array<string>").alias(k) for k in sorted(keys)]
-        tables.append(cls(df.select(*cols, *props)))
+    for kind, df, cls, cols in (("node", nodes, VertexTable, ["id", "seq", "labels"]), ("edge", edges, EdgeTable, ["id", "seq", F.col("from").alias("src"), F.col("to").alias("dst"), "labels"])):
+        props = [F.from_json(F.col("_texts")[k], "array<double>" if ok else "array<string>").alias(k) for k, ok in sorted((k, ok) for own, k, ok in found if own == kind)]
+        tables.append(cls(df.withColumn("_texts", texts).select(*cols, *props)))
     return PropertyGraph(spark, [tables[0]], [tables[1]])
 
 
@@ -47,21 +50,26 @@ def loads(spark: SparkSession, text: str) -> PropertyGraph:
     )
 
 
+def _fields(elements: DataFrame, *ends: str) -> DataFrame:
+    """elements: seq, x (an element's text).  They are dealt out before they are parsed, since one file or row group is one task's; a text
+    that is cut off gives what comes before the cut."""
+    names = ["id", *ends, "labels", "properties"]
+    parsed = elements.select("seq", "x").repartition("seq", "x").select("seq", "x", F.json_tuple("x", *names).alias(*names))
+    fields = {k: F.coalesce(k, F.get_json_object("x", f"$.{k}")) for k in names}
+    return parsed.select("seq", *((F.from_json(v, "array<string>") if k == "labels" else v).alias(k) for k, v in fields.items()))
+
+
 def load(spark: SparkSession, path: str) -> PropertyGraph:
     """From files; a file is one graph document."""
     raw = spark.read.text(path, wholetext=True)
-    part = lambda key, cols: raw.select(F.posexplode(F.from_json(F.get_json_object("value", f"$.{key}"), "array<string>")).alias("seq", "x")).select(F.col("seq").cast("long"), *cols)
-    get = lambda k: F.get_json_object("x", f"$.{k}").alias(k)
-    labels = F.from_json(F.get_json_object("x", "$.labels"), "array<string>").alias("labels")
-    return graph_of(spark, part("nodes", [get("id"), labels, get("properties")]), part("edges", [get("id"), get("from"), get("to"), labels, get("properties")]))
+    part = lambda key: raw.select(F.posexplode(F.from_json(F.get_json_object("value", f"$.{key}"), "array<string>")).alias("seq", "x")).select(F.col("seq").cast("long").alias("seq"), "x")
+    return graph_of(spark, _fields(part("nodes")), _fields(part("edges"), "from", "to"))
 
 
 def from_rows(rows: DataFrame) -> PropertyGraph:
     """The graph of json_rows: kind, seq, json."""
-    get = lambda k: F.get_json_object("json", f"$.{k}").alias(k)
-    labels = F.from_json(F.get_json_object("json", "$.labels"), "array<string>").alias("labels")
-    part = lambda kind, *cols: rows.filter(F.col("kind") == kind).select("seq", get("id"), *cols, labels, get("properties"))
-    return graph_of(rows.sparkSession, part("node"), part("edge", get("from"), get("to")))
+    part = lambda kind: rows.filter(F.col("kind") == kind).select("seq", F.col("json").alias("x"))
+    return graph_of(rows.sparkSession, _fields(part("node")), _fields(part("edge"), "from", "to"))
 
 
 def json_rows(graph: PropertyGraph) -> DataFrame:

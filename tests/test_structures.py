@@ -9,7 +9,7 @@ from quiverflow.graph import PropertyGraph
 from quiverflow.operators.listops import Seq
 from quiverflow.operators.tree import Tree
 from quiverflow.operators.trie import Trie
-from quiverflow.sources.pg_json import is_pg, to_json
+from quiverflow.sources.pg_json import from_rows, is_pg, load, to_json
 from quiverflow.streaming.live import Live, apply_log, follow
 
 #: A vertex with two labels, array values, edges without ids.
@@ -109,3 +109,24 @@ def test_json(spark):
     assert is_pg(json.loads(g.to_json())) and PropertyGraph.from_json(spark, g.to_json()).size() == 4
     with pytest.raises(ValueError):
         PropertyGraph.from_json(spark, TEXT.replace('"to":"port-7"', '"to":"none"'))
+
+
+def test_json_read_in_few_jobs(spark, tmp_path):
+    """However many properties there are, reading takes the same jobs; elements are dealt out before they are parsed."""
+    jobs, long = [], [123456789012345678901234, "x"]
+    for n in (2, 12):
+        props = lambda k: {f"p{i}": [[k], [f"s{k}"], long][i % 3] for i in range(n)}  # noqa: B023, E731
+        nodes = [{"id": f"v{k}", "labels": ["A"], "properties": props(k)} for k in range(4)]
+        edges = [{"from": f"v{k}", "to": "v0", "labels": ["B"], "properties": {"w": [k + x], "late": [x]}} for k in range(4) for x in (0, 0.5)]
+        rows = [(kind, k, json.dumps(x)) for kind, xs in (("node", nodes), ("edge", edges)) for k, x in enumerate(xs)]
+        spark.sparkContext.setJobGroup(f"json {n}", "")
+        g = from_rows(spark.createDataFrame(rows, "kind string, seq long, json string").coalesce(1))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"json {n}")))
+        (tmp_path / f"{n}.json").write_text(json.dumps({"nodes": nodes, "edges": edges}))
+        for read in (g, load(spark, str(tmp_path / f"{n}.json"))):
+            want = {f"p{i}": [[2.0], ["s2"], ["123456789012345678901234", "x"]][i % 3] for i in range(n)}
+            assert read.vertices.filter("id = 'v2'").first().asDict() == {"id": "v2", "seq": 2, "labels": ["A"]} | want
+            assert sorted((r["id"], r["w"], r["late"]) for r in read.edges.collect()) == [(f"v{k}-[B]->v0", [float(k)], [0.0]) for k in range(4)]
+            assert "REPARTITION_BY_COL" in read.vertices._jdf.queryExecution().toString()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
